@@ -39,10 +39,6 @@ UNIT_WORDS = {
         "month", "months", "room", "rooms", "space", "spaces", "stories", "story",
     ],
 }
-# What a figure before a label-free word is allowed to be followed by; used to
-# tell a bare figure from a counted thing ("4 offers").
-FOLLOWED_BY_WORD = _NEXT_WORD
-
 
 def is_close(a: Column, b: Column) -> Column:
     tolerance = F.greatest(F.lit(1e-9) * F.greatest(F.abs(a), F.abs(b)), F.lit(1e-9))
@@ -76,23 +72,21 @@ def with_mentions(df: DataFrame, text: str, out: str = "mentions") -> DataFrame:
         mark = F.ltrim(m["after"])
         percent = mark.isin("%", "percent")
         scaled = mark.isin(list(SCALES)) & ((F.length(mark) > 1) | ~m["after"].startswith(" ") | currency)
-        factor = F.lit(1.0)
-        for word, scale in SCALES.items():
-            factor = F.when(scaled & (mark == word), F.lit(scale)).otherwise(factor)
+        scale = F.when(scaled, F.try_element_at(spec.literal_map(SCALES), mark))
         rest = F.substr(m["right"], F.when(percent | scaled, F.length(m["after"])).otherwise(F.lit(0)) + F.lit(1))
         # For a bare figure the next word is read after any mark, taken or not.
         past_mark = F.substr(m["right"], F.length(m["after"]) + F.lit(1))
         negative = m["before"].contains("-") | (m["before"].startswith("(") & rest.startswith(")"))
         word = F.regexp_extract(rest, _NEXT_WORD, 1)
         kind = F.when(percent, F.lit("percent")).when(currency, F.lit("currency"))
-        for name, unit_words in UNIT_WORDS.items():
-            kind = kind.when(word.isin(unit_words), F.lit(name))
-        value = m["digits"] * factor
+        counts = spec.literal_map({w: name for name, unit_words in UNIT_WORDS.items() for w in unit_words})
+        kind = kind.otherwise(F.coalesce(F.try_element_at(counts, word), F.lit("plain")))
+        value = m["digits"] * F.coalesce(scale, F.lit(1.0))
         return F.struct(
             m["gap"].alias("gap"),
             m["width"].alias("width"),
             F.when(negative, -value).otherwise(value).alias("value"),
-            kind.otherwise(F.lit("plain")).alias("kind"),
+            kind.alias("kind"),
             past_mark.rlike(_NEXT_WORD).alias("counted"),
         )
 

@@ -7,7 +7,7 @@ text, so no row ever leaves the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ALNUM = r"\p{L}\p{N}"
@@ -139,17 +139,35 @@ def quoted(col: Column) -> Column:
     return F.when(double, F.concat(F.lit('"'), x, F.lit('"'))).otherwise(F.concat(F.lit("'"), escaped, F.lit("'")))
 
 
-def note_names_field(note: Column, field: Column) -> Column:
-    """Whether a note starts with the field's name (underscores or spaces) and
-    the name ends there."""
-    folded = casefold(strip(note))
-    spaced = F.replace(field, F.lit("_"), F.lit(" "))
+def _named_at_start(folded: Column, field: Column) -> Column:
+    """Whether text starts with a field's name (underscores or spaces) and the
+    name ends there."""
 
     def starts(label: Column) -> Column:
         following = F.substr(folded, F.length(label) + F.lit(1), F.lit(1))
         return folded.startswith(label) & ~following.rlike(f"[{WORD_CHAR}]")
 
-    return starts(field) | starts(spaced)
+    return starts(field) | starts(F.replace(field, F.lit("_"), F.lit(" ")))
+
+
+def note_names_field(note: Column, field: Column) -> Column:
+    """Whether a note is about `field`."""
+    return _named_at_start(casefold(strip(note)), field)
+
+
+def with_named_fields(df: DataFrame, note: str, fields: list[str], out: str = "field_name") -> DataFrame:
+    """One row per (note, field the note is about). The few field names are
+    tried inside the row, so notes are never joined or shuffled for this."""
+    return (
+        df.withColumn("_folded", casefold(strip(F.col(note))))
+        .withColumn(
+            out,
+            F.explode(
+                F.filter(F.array(*[F.lit(f) for f in fields]), lambda f: _named_at_start(F.col("_folded"), f))
+            ),
+        )
+        .drop("_folded")
+    )
 
 
 def note_text(note: Column, field: Column) -> Column:

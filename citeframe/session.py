@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution does the run-time half of skew handling: oversized join
@@ -19,6 +22,9 @@ DEFAULTS = {
 }
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def build_session(
     app_name: str = "citeframe",
     master: str | None = None,
@@ -40,19 +46,27 @@ def build_session(
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder for intermediate tables: `spark.checkpoint.dir` as the cluster
+    names it. Only a local session without that setting gets a folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.startswith("local"):
+        folder = _LOCAL_FOLDERS.setdefault(
+            spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        )
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialize a result that several outputs share.
+    """Writes a result that several outputs share as a table and reads it back.
 
-    Uses the reliable checkpoint folder the cluster names (`spark.checkpoint.dir`,
-    or the one set on the context); a lost executor then costs a re-read, not a
-    re-run. With neither set the plan is returned unchanged: correct, only
-    recomputed per output.
+    Readers prune its columns, and a lost executor costs a re-read, not a re-run.
+    On a cluster that names no shared folder the plan is returned unchanged:
+    still right, only computed once per output.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        if not folder:
-            return df
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = shared_folder(df.sparkSession)
+    if not folder:
+        return df
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -159,12 +159,14 @@ def field_spec(spark: SparkSession, fields=None) -> DataFrame:
     return spark.createDataFrame(spec_rows(fields), SPEC_SCHEMA)
 
 
-def _lookup(field: Column, pairs: dict[str, object], default: object) -> Column:
-    result = None
-    for name, value in pairs.items():
-        lit = F.lit(value)
-        result = F.when(field == name, lit) if result is None else result.when(field == name, lit)
-    return result.otherwise(F.lit(default))
+def literal_map(pairs: dict) -> Column:
+    """A constant map column; the optimizer folds it into one literal, so rules
+    stay small however many fields they cover."""
+    parts = []
+    for key, value in pairs.items():
+        parts.append(F.lit(key))
+        parts.append(F.array(*[F.lit(v) for v in value]) if isinstance(value, list) else F.lit(value))
+    return F.create_map(*parts)
 
 
 def is_numeric(field: Column) -> Column:
@@ -185,23 +187,14 @@ def is_quote_only(field: Column) -> Column:
 
 def accepts_kind(field: Column, kind: Column) -> Column:
     """Whether a number of `kind` in the text can support `field`."""
-    fields_by_kind: dict[str, list[str]] = {}
-    for name, kinds in NUMBER_KINDS.items():
-        for accepted in kinds:
-            fields_by_kind.setdefault(accepted, []).append(name)
-    test = F.lit(False)
-    for accepted, names in sorted(fields_by_kind.items()):
-        test = test | ((kind == accepted) & field.isin(names))
-    return test
+    return F.coalesce(
+        F.array_contains(F.try_element_at(literal_map(NUMBER_KINDS), field), kind), F.lit(False)
+    )
 
 
 def in_bounds(field: Column, value: Column) -> Column:
-    test = F.lit(True)
-    for name, (lower, upper) in BOUNDS.items():
-        inside = F.lit(True)
-        if lower is not None:
-            inside = inside & (value >= float(lower))
-        if upper is not None:
-            inside = inside & (value <= float(upper))
-        test = test & ((field != name) | inside)
-    return test
+    lower = literal_map({name: float(low) for name, (low, _) in BOUNDS.items() if low is not None})
+    upper = literal_map({name: float(high) for name, (_, high) in BOUNDS.items() if high is not None})
+    return F.coalesce(value >= F.try_element_at(lower, field), F.lit(True)) & F.coalesce(
+        value <= F.try_element_at(upper, field), F.lit(True)
+    )

@@ -10,8 +10,8 @@ from citeframe.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = build_session("tests", "local[4]", shuffle_partitions=4, driver_memory="4g")
+    folder = str(tmp_path_factory.mktemp("checkpoints"))
+    session = build_session("tests", "local[4]", shuffle_partitions=4, driver_memory="4g", extra={"spark.checkpoint.dir": folder})
     session.sparkContext.setLogLevel("ERROR")
-    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()
