@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import spec
+from .plans import explode_computed
 from .text import ALNUM, LETTER, WORD_CHAR, ascii_digits
 
 # A figure: digits with inner commas and an optional fraction, not glued to a
@@ -114,7 +115,7 @@ def with_mentions(df: DataFrame, text: str, out: str = "mentions") -> DataFrame:
 def number_mentions(pages: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """Table of mentions: one row per figure, keyed by `keys` and its position."""
     read = with_mentions(pages.select(*keys, F.col(text).alias("_text")), "_text")
-    return read.select(*keys, F.posexplode("mentions").alias("mention_ord", "_m")).select(
+    return explode_computed(read, "mentions", "_m", pos="mention_ord", keep=keys).select(
         *keys, "mention_ord", "_m.start", "_m.stop", "_m.value", "_m.kind"
     )
 

@@ -17,6 +17,15 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def explode_computed(df: DataFrame, items: str, out: str, pos: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """One row per element of a computed array column. A plain explode would make
+    the optimizer test the array for emptiness first, computing it a second time
+    (inside lambdas, once per element); the outer form with a null filter does not."""
+    columns = keep if keep is not None else [c for c in df.columns if c != items]
+    generated = F.posexplode_outer(items).alias(pos, out) if pos else F.explode_outer(items).alias(out)
+    return df.select(*columns, generated).filter(F.col(out).isNotNull())
+
+
 def filter_computed(df: DataFrame, condition: Column) -> DataFrame:
     """Filters on computed columns without moving the filter below the projection
     that computes them (a row id makes that projection non-movable)."""

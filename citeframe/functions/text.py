@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .plans import explode_computed
+
 ALNUM = r"\p{L}\p{N}"
 WORD_CHAR = ALNUM + "_"
 LETTER = r"\p{L}\p{No}\p{Nl}"
@@ -158,16 +160,9 @@ def note_names_field(note: Column, field: Column) -> Column:
 def with_named_fields(df: DataFrame, note: str, fields: list[str], out: str = "field_name") -> DataFrame:
     """One row per (note, field the note is about). The few field names are
     tried inside the row, so notes are never joined or shuffled for this."""
-    return (
-        df.withColumn("_folded", casefold(strip(F.col(note))))
-        .withColumn(
-            out,
-            F.explode(
-                F.filter(F.array(*[F.lit(f) for f in fields]), lambda f: _named_at_start(F.col("_folded"), f))
-            ),
-        )
-        .drop("_folded")
-    )
+    named = F.filter(F.array(*[F.lit(f) for f in fields]), lambda f: _named_at_start(F.col("_folded"), f))
+    df = df.withColumn("_folded", casefold(strip(F.col(note)))).withColumn("_named", named).drop("_folded")
+    return explode_computed(df, "_named", out)
 
 
 def note_text(note: Column, field: Column) -> Column:

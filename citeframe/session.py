@@ -51,9 +51,10 @@ def shared_folder(spark: SparkSession) -> str | None:
     names it. Only a local session without that setting gets a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and spark.sparkContext.master.startswith("local"):
-        folder = _LOCAL_FOLDERS.setdefault(
-            spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        )
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        folder = _LOCAL_FOLDERS[app]
     return folder
 
 
