@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.text import casefold, is_blank, single_spaced
-from ..spec import literal_map
+from ..spec import constant, literal_map
 
 PROFILE_MARKET_FIELDS = ["market", "submarket", "location", "address"]
 
@@ -83,12 +83,9 @@ def with_loose_type(df: DataFrame, text: str, out: str = "property_type") -> Dat
     padded = F.concat(F.lit(" "), F.col("_key"), F.lit(" "))
     choices = [F.try_element_at(literal_map(vocab.exact_types()), F.col("_key"))]
     for tier in sorted(vocab.TYPE_PHRASES):
-        phrases = F.array(
-            *[
-                F.struct(F.lit(f" {phrase} ").alias("p"), F.lit(-len(phrase)).alias("l"), F.lit(name).alias("n"))
-                for t, name, phrase in vocab.type_phrases()
-                if t == tier
-            ]
+        phrases = constant(
+            [{"p": f" {p} ", "l": -len(p), "n": name} for t, name, p in vocab.type_phrases() if t == tier],
+            "array<struct<p:string,l:int,n:string>>",
         )
         found = F.transform(
             phrases,
@@ -103,24 +100,20 @@ def with_loose_type(df: DataFrame, text: str, out: str = "property_type") -> Dat
 
 def _market_map() -> Column:
     """Name key -> (market, states)."""
-    parts = []
-    for key, (market, states) in {
-        vocab.lookup_key(a): (m, s) for m, s, names in vocab.market_rows() for a in names
-    }.items():
-        parts += [
-            F.lit(key),
-            F.struct(F.lit(market).alias("market"), F.array(*[F.lit(s) for s in states]).alias("states")),
-        ]
-    return F.create_map(*parts)
+    names = {vocab.lookup_key(a): {"market": m, "states": s} for m, s, names in vocab.market_rows() for a in names}
+    return constant(names, "map<string,struct<market:string,states:array<string>>>")
+
+
+def _is_state_code(word: Column) -> Column:
+    return F.array_contains(constant(sorted(set(vocab.state_codes().values())), "array<string>"), word)
 
 
 def _states_of(piece: Column) -> Column:
     """Sorted state codes when the piece is nothing but states, else empty."""
-    codes = sorted(set(vocab.state_codes().values()))
     bare = F.trim(F.regexp_replace(piece, _ZIP, ""))
     words = F.filter(F.split(bare, r"[\s/-]+"), lambda w: w != "")
     named = F.try_element_at(literal_map(vocab.state_codes()), bare)
-    all_codes = (F.size(words) > 0) & F.forall(words, lambda w: w.isin(codes))
+    all_codes = (F.size(words) > 0) & F.forall(words, _is_state_code)
     return F.when(named.isNotNull(), F.array(named)).when(all_codes, F.array_sort(F.array_distinct(words))).otherwise(
         F.array().cast("array<string>")
     )
@@ -153,8 +146,7 @@ def with_market_match(df: DataFrame, text: str, out: str = "match") -> DataFrame
     """Adds struct(market, confidence, matched_text): "exact" when a whole place in
     the text is a known name, "partial" when only words inside a place are. A named
     state rules out markets elsewhere; a foreign country rules out all."""
-    codes = sorted(set(vocab.state_codes().values()))
-    state_names = sorted(vocab.state_codes())
+    state_names = constant(sorted(vocab.state_codes()), "array<string>")
     df = df.withColumn("_tidy", tidy(F.col(text))).withColumn(
         "_parts", _pieces(F.regexp_replace("_tidy", _FILLER, " "))
     )
@@ -162,7 +154,7 @@ def with_market_match(df: DataFrame, text: str, out: str = "match") -> DataFrame
     def read(piece: Column, i: Column) -> Column:
         states = F.when(i > 0, _states_of(piece)).otherwise(F.array().cast("array<string>"))
         head, code = F.regexp_extract(piece, _TRAILING_STATE, 1), F.regexp_extract(piece, _TRAILING_STATE, 2)
-        trailing = code.isin(codes) & ~head.isin(state_names)
+        trailing = _is_state_code(code) & ~F.array_contains(state_names, head)
         place = F.trim(F.regexp_replace(F.when(trailing, head).otherwise(piece), _ZIP, ""))
         return F.when(F.size(states) > 0, F.struct(F.lit("").alias("place"), states.alias("states"))).otherwise(
             F.struct(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -159,14 +161,17 @@ def field_spec(spark: SparkSession, fields=None) -> DataFrame:
     return spark.createDataFrame(spec_rows(fields), SPEC_SCHEMA)
 
 
+def constant(value, type_: str) -> Column:
+    """A constant of any shape as one expression, which the optimizer folds into a
+    literal. Rules stay small in the plan however many entries they have."""
+    return F.from_json(F.lit(json.dumps(value)), type_)
+
+
 def literal_map(pairs: dict) -> Column:
-    """A constant map column; the optimizer folds it into one literal, so rules
-    stay small however many fields they cover."""
-    parts = []
-    for key, value in pairs.items():
-        parts.append(F.lit(key))
-        parts.append(F.array(*[F.lit(v) for v in value]) if isinstance(value, list) else F.lit(value))
-    return F.create_map(*parts)
+    """A constant map from text to text, numbers or lists of text."""
+    first = next(iter(pairs.values()))
+    value_type = "array<string>" if isinstance(first, list) else "double" if isinstance(first, float) else "string"
+    return constant(pairs, f"map<string,{value_type}>")
 
 
 def is_numeric(field: Column) -> Column:
