@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.plans import filter_computed
+
 
 def error_list(checks: dict[str, Column]) -> Column:
     """Messages of the checks that fail. A check is a condition that must be true;
@@ -15,8 +17,9 @@ def error_list(checks: dict[str, Column]) -> Column:
 
 
 def accepted(df: DataFrame) -> DataFrame:
-    return df.filter(F.size("errors") == 0).drop("errors")
+    """Rows without errors. The check is computed once, not copied into the filter."""
+    return filter_computed(df, F.size("errors") == 0).drop("errors")
 
 
 def rejected(df: DataFrame) -> DataFrame:
-    return df.filter(F.size("errors") > 0)
+    return filter_computed(df, F.size("errors") > 0)

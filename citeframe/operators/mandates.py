@@ -9,7 +9,7 @@ from .. import spec, vocab
 from ..functions.plans import explode_computed
 from ..functions.text import casefold, single_spaced, strip
 from ..spec import literal_map
-from .checks import error_list
+from .checks import accepted, error_list, rejected
 from .vocabulary import _market_map, strict_type, with_strict_market
 
 # Limits of a mandate form.
@@ -361,9 +361,9 @@ def list_mandates(mandates: DataFrame, organization_id=None, include_archived: b
     if not include_archived:
         rows = rows.filter(~F.col("is_archived"))
     checked = validate_mandates(rows)
-    readable = checked.filter(F.size("errors") == 0).drop("errors")
+    readable = accepted(checked)
     skipped = (
-        checked.filter(F.size("errors") > 0)
+        rejected(checked)
         .groupBy("organization_id")
         .agg(F.count(F.lit(1)).alias("skipped"))
     )
@@ -478,11 +478,10 @@ def create_mandates(inputs: DataFrame, organizations: DataFrame) -> tuple[DataFr
     )
     checked = checked.withColumn("errors", errors).drop("_known")
     created = (
-        checked.filter(F.size("errors") == 0)
+        accepted(checked)
         .withColumn("name", single_spaced(F.col("name")))
         .withColumn("criteria", F.regexp_replace("criteria", r'\s*"[A-Za-z_]+"\s*:\s*null\s*,|,?\s*"[A-Za-z_]+"\s*:\s*null', ""))
         .withColumn("version", F.lit(1))
         .withColumn("is_archived", F.lit(False))
-        .drop("errors")
     )
-    return created, checked.filter(F.size("errors") > 0)
+    return created, rejected(checked)

@@ -339,24 +339,35 @@ def _memberships(spark, sf_dir):
 
 @query(
     "tenant_documents",
-    """SELECT c_custkey AS user_id, count(*) AS documents FROM customer JOIN documents ON c_nationkey % 10 = doc_id % 10
-       WHERE c_acctbal >= 0 AND c_custkey % 50 = 7 GROUP BY c_custkey""",
+    """SELECT c_custkey AS user_id, count(*) AS documents FROM customer
+       JOIN documents ON c_nationkey % 10 = doc_id % 10 WHERE c_acctbal >= 0 GROUP BY c_custkey""",
 )
 def tenant_documents(spark, sf_dir):
-    """Documents visible to members, one in fifty users being auditors."""
-    auditors = _memberships(spark, sf_dir).filter(F.col("user_id") % 50 == 7)
-    visible = rt.visible_to_members(_rag_documents(spark, sf_dir), auditors)
-    return visible.groupBy("user_id").agg(F.count(F.lit(1)).alias("documents"))
+    """How many documents each user may see. Counted per organization before the
+    tenant rule is applied, so no (user, document) pairs are formed."""
+    counts = _rag_documents(spark, sf_dir).groupBy("organization_id").agg(F.count(F.lit(1)).alias("documents"))
+    return rt.visible_to_members(counts, _memberships(spark, sf_dir)).select("user_id", "documents")
+
+
+@query(
+    "visible_rows",
+    """SELECT doc_id AS document_id FROM documents
+       WHERE doc_id % 10 IN (SELECT c_nationkey % 10 FROM customer WHERE c_custkey = 1 AND c_acctbal >= 0)""",
+)
+def visible_rows(spark, sf_dir):
+    rows = rt.visible_rows(_rag_documents(spark, sf_dir), _memberships(spark, sf_dir), 1)
+    return rows.select("document_id")
 
 
 @query(
     "visible_files",
     """SELECT (doc_id % 10) || '/' || doc_id || '/doc_' || doc_id || '.pdf' AS storage_path FROM documents
-       WHERE doc_id % 2 = 0 AND doc_id % 10 IN (SELECT c_nationkey % 10 FROM customer WHERE c_custkey = 8 AND c_acctbal >= 0)""",
+       WHERE doc_id % 10 IN (SELECT c_nationkey % 10 FROM customer WHERE c_custkey = 1 AND c_acctbal >= 0)""",
 )
 def visible_files(spark, sf_dir):
+    """Every document has its file and a stray copy no document row names."""
     path = F.concat_ws("/", F.col("organization_id").cast("string"), F.col("document_id").cast("string"), "document_name")
     documents = _rag_documents(spark, sf_dir).withColumn("storage_path", path)
-    stored = documents.filter(F.col("document_id") % 2 == 0).select("storage_path")
-    stray = documents.filter(F.col("document_id") % 2 == 0).select(F.concat(F.lit("stray/"), "storage_path").alias("storage_path"))
-    return rt.visible_objects(stored.unionByName(stray), documents, _memberships(spark, sf_dir), 8)
+    stored = documents.select("storage_path")
+    stray = documents.select(F.concat(F.lit("stray/"), "storage_path").alias("storage_path"))
+    return rt.visible_objects(stored.unionByName(stray), documents, _memberships(spark, sf_dir), 1)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import mandates as md
 from ..operators import vocabulary as voc
+from ..operators.checks import accepted
 from .registry import query, table
 
 TYPES = [
@@ -219,7 +220,7 @@ def mandates_checked(spark, sf_dir):
     FROM customer JOIN rows ON c_custkey % {_C} = id""",
 )
 def mandate_criteria_rows(spark, sf_dir):
-    valid = md.validate_mandates(_mandates(spark, sf_dir)).filter(F.size("errors") == 0)
+    valid = accepted(md.validate_mandates(_mandates(spark, sf_dir)))
     return md.criteria_rows(valid).withColumn("allowed", F.array_join("allowed", "|"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_page, is_blank, strip
-from ..operators.checks import error_list
+from ..operators.checks import error_list, rejected
 
 # Pages per document, characters per extraction input.
 MAX_PAGES = 500
@@ -59,9 +59,9 @@ def check_documents(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
 def read_pages(pages: DataFrame, max_pages: int = MAX_PAGES) -> tuple[DataFrame, DataFrame]:
     """(usable pages of accepted documents, rejected documents with errors)."""
     checked = check_documents(pages, max_pages)
-    rejected = checked.filter(F.size("errors") > 0)
-    usable = clean_pages(pages.join(rejected.select("doc_id"), "doc_id", "left_anti"))
-    return usable, rejected
+    refused = rejected(checked)
+    usable = clean_pages(pages.join(refused.select("doc_id"), "doc_id", "left_anti"))
+    return usable, refused
 
 
 def _block(df: DataFrame) -> DataFrame:
