@@ -17,6 +17,7 @@ from .text import ALNUM, LETTER, WORD_CHAR, ascii_digits
 # A figure: digits with inner commas and an optional fraction, not glued to a
 # word, a digit or a point on its left.
 FIGURE = rf"(?<![{WORD_CHAR}.])(?:\p{{Nd}}(?:[\p{{Nd}},]*\p{{Nd}})?(?:\.\p{{Nd}}+)?|\.\p{{Nd}}+)"
+DIGITS_FIRST = FIGURE.rsplit("|", 1)[0] + ")"
 # "(", a minus that is no hyphen, a currency sign: what may stand right before.
 _BEFORE = rf"(?s)(?<=.)(?:\(\s?)?(?:(?<![{ALNUM}])-\s?)?(?:(?:\$|usd)\s?(?:-\s?)?)?$"
 # A percent sign or a scale: what may stand right after.
@@ -49,7 +50,7 @@ def is_close(a: Column, b: Column) -> Column:
 def with_mentions(df: DataFrame, text: str, out: str = "mentions") -> DataFrame:
     """Adds `out ARRAY<STRUCT<start, stop, value, kind, counted>>` for text in
     match form: offsets in characters, `counted` = a word follows the figure."""
-    src = F.col(text)
+    src = ascii_digits(F.col(text))
     df = df.withColumn("_pieces", F.split(src, FIGURE, -1)).withColumn(
         "_figures", F.regexp_extract_all(src, F.lit(FIGURE), F.lit(0))
     )
@@ -58,11 +59,12 @@ def with_mentions(df: DataFrame, text: str, out: str = "mentions") -> DataFrame:
     def around(figure: Column, i: Column) -> Column:
         left = F.get(pieces, i)
         context = F.concat(F.when(i == 0, F.lit("\n")).otherwise(F.lit("0")), left)
-        right = F.get(pieces, i + F.lit(1))
+        # Enough for a mark and the longest unit word.
+        right = F.left(F.get(pieces, i + F.lit(1)), F.lit(32))
         return F.struct(
             F.length(left).alias("gap"),
             F.length(figure).alias("width"),
-            F.replace(ascii_digits(figure), F.lit(","), F.lit("")).try_cast("double").alias("digits"),
+            F.replace(figure, F.lit(","), F.lit("")).try_cast("double").alias("digits"),
             F.regexp_extract(F.right(context, F.lit(9)), _BEFORE, 0).alias("before"),
             F.regexp_extract(right, _AFTER, 0).alias("after"),
             right.alias("right"),
@@ -79,6 +81,7 @@ def with_mentions(df: DataFrame, text: str, out: str = "mentions") -> DataFrame:
         past_mark = F.substr(m["right"], F.length(m["after"]) + F.lit(1))
         negative = m["before"].contains("-") | (m["before"].startswith("(") & rest.startswith(")"))
         word = F.regexp_extract(rest, _NEXT_WORD, 1)
+        counted = F.when(F.length(rest) == F.length(past_mark), word != "").otherwise(past_mark.rlike(_NEXT_WORD))
         kind = F.when(percent, F.lit("percent")).when(currency, F.lit("currency"))
         counts = spec.literal_map({w: name for name, unit_words in UNIT_WORDS.items() for w in unit_words})
         kind = kind.otherwise(F.coalesce(F.try_element_at(counts, word), F.lit("plain")))
@@ -88,7 +91,7 @@ def with_mentions(df: DataFrame, text: str, out: str = "mentions") -> DataFrame:
             m["width"].alias("width"),
             F.when(negative, -value).otherwise(value).alias("value"),
             kind.alias("kind"),
-            past_mark.rlike(_NEXT_WORD).alias("counted"),
+            counted.alias("counted"),
         )
 
     # Offsets are a running sum of piece and figure widths.
