@@ -16,7 +16,7 @@ from .text import ALNUM, LETTER, WORD_CHAR, ascii_digits
 
 # A figure: digits with inner commas and an optional fraction, not glued to a
 # word, a digit or a point on its left.
-FIGURE = rf"(?<![{WORD_CHAR}.])(?:\p{{Nd}}(?:[\p{{Nd}},]*\p{{Nd}})?(?:\.\p{{Nd}}+)?|\.\p{{Nd}}+)"
+FIGURE = rf"(?=[0-9.])(?<![{WORD_CHAR}.])(?:[0-9](?:[0-9,]*[0-9])?(?:\.[0-9]+)?|\.[0-9]+)"
 DIGITS_FIRST = FIGURE.rsplit("|", 1)[0] + ")"
 # "(", a minus that is no hyphen, a currency sign: what may stand right before.
 _BEFORE = rf"(?s)(?<=.)(?:\(\s?)?(?:(?<![{ALNUM}])-\s?)?(?:(?:\$|usd)\s?(?:-\s?)?)?$"

@@ -15,7 +15,8 @@ from .plans import explode_computed
 ALNUM = r"\p{L}\p{N}"
 WORD_CHAR = ALNUM + "_"
 LETTER = r"\p{L}\p{No}\p{Nl}"
-_NON_ASCII = r"[^\x00-\x7F]"
+# Every white-space character, as trimming understands it.
+SPACES = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
 
 # Characters invisible in print, dropped before matching.
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
@@ -36,7 +37,7 @@ def _icu(cls: str, method: str, col: Column, flag: bool) -> Column:
 
 
 def _has_non_ascii(col: Column) -> Column:
-    return col.rlike(_NON_ASCII)
+    return F.octet_length(col) != F.length(col)
 
 
 def nfc(col: Column) -> Column:
@@ -54,11 +55,11 @@ def casefold(col: Column) -> Column:
 
 def strip(col: Column) -> Column:
     """Drop leading and trailing Unicode white space."""
-    return F.regexp_replace(col, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.btrim(col, F.lit(SPACES))
 
 
 def is_blank(col: Column) -> Column:
-    return col.isNull() | ~col.rlike(r"(?U)[^\s\x1c-\x1f]")
+    return col.isNull() | (strip(col) == "")
 
 
 def single_spaced(col: Column) -> Column:
@@ -86,18 +87,23 @@ def clean_for_chunks(col: Column) -> Column:
 def norm(col: Column, join_line_hyphens: bool = False) -> Column:
     """The form quotes are matched in: NFKC, plain quotes and dashes, no invisible
     characters, case folded, each white-space run one LF or one space."""
-    def spacing(x: Column) -> Column:
+    def spacing(x: Column, blank: str, hyphens: str) -> Column:
+        # Only runs that are not yet a single space or LF are rewritten.
         if join_line_hyphens:
-            x = F.regexp_replace(x, rf"(?U)(?<=[{LETTER}])-[ \t]*\n\s*(?=[{LETTER}])", "")
-        x = F.regexp_replace(x, r"(?U)[[^\S\n]\x1c-\x1f]+", " ")
-        return F.regexp_replace(x, r" ?\n[ \n]*", "\n")
+            x = F.regexp_replace(x, hyphens, "")
+        x = F.regexp_replace(x, rf"[ {blank}]{{2,}}|[{blank}]", " ")
+        return F.regexp_replace(x, r" \n[ \n]*|\n[ \n]+", "\n")
 
+    plain = spacing(col, r"\t\x0b\f\r\x1c-\x1f", r"(?<=[A-Za-z])-[ \t]*\n\s*(?=[A-Za-z])")
     # Two separate branches, so plain ASCII rows never reach the ICU calls and
     # nothing is computed twice.
     composed = F.translate(_icu("com.ibm.icu.text.Normalizer", "compose", col, True), _FOLD_FROM, _FOLD_TO)
     visible = F.regexp_replace(composed, "[" + INVISIBLE + "]", "")
-    folded = _icu("com.ibm.icu.lang.UCharacter", "foldCase", spacing(visible), True)
-    x = F.when(_has_non_ascii(col), folded).otherwise(F.lower(spacing(col)))
+    wide = spacing(
+        visible, r"\t\x0b\f\r\x1c-\x1f\x85\p{Z}", rf"(?U)(?<=[{LETTER}])-[ \t]*\n\s*(?=[{LETTER}])"
+    )
+    folded = _icu("com.ibm.icu.lang.UCharacter", "foldCase", wide, True)
+    x = F.when(_has_non_ascii(col), folded).otherwise(F.lower(plain))
     return F.btrim(x, F.lit(" \n"))
 
 

@@ -9,7 +9,7 @@ from ..operators import chunks as ch
 from ..operators import retrieval as rt
 from ..sources import pages as pg
 from ..sources import requests as rq
-from .registry import query, table
+from .registry import query, spread, table
 
 SQL_BLANKS = "chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160) || chr(133) || chr(8195) || chr(8239) || chr(12288)"
 
@@ -84,7 +84,7 @@ def ingest_requests_checked(spark, sf_dir):
               '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), {SQL_BLANKS})) AS digest FROM documents""",
 )
 def clean_pages_retrieval(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.md5(clean_for_chunks(F.col("text"))).alias("digest"))
 
 
@@ -96,7 +96,7 @@ def clean_pages_retrieval(spark, sf_dir):
               '[ \\t]+\\n', chr(10), 'g'), {SQL_BLANKS})) AS digest FROM documents""",
 )
 def clean_pages_extraction(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.md5(clean_page(F.col("text"))).alias("digest"))
 
 
@@ -125,7 +125,7 @@ def oversized_documents(spark, sf_dir):
 
 
 def _document_pages(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", F.lit(0).alias("page_ord"), F.lit(1).alias("page_number"), "text"
     )
 

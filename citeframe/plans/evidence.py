@@ -12,7 +12,7 @@ from ..operators.integrity import enforce_integrity, listed_as_missing
 from ..operators.passages import passages
 from ..session import cut_lineage
 from . import packages as pkg
-from .registry import query, table
+from .registry import query, spread, table
 
 
 def _mentions(spark, sf_dir):
@@ -223,7 +223,7 @@ def conflicting_citations(spark, sf_dir):
     SELECT doc_id, md5(passage) AS passage_md5, count(*) AS n FROM s WHERE length(passage) BETWEEN 8 AND 300 GROUP BY ALL""",
 )
 def passage_index(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = passages(docs, keys=("doc_id",))
     return found.groupBy("doc_id", F.md5("passage").alias("passage_md5")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .registry import table
+from .registry import spread, table
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
 
@@ -66,7 +66,7 @@ def line_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def package_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(
+    orders = spread(table(spark, sf_dir, "orders")).select(
         F.col("o_orderkey").alias("deal_id"),
         F.lit(0).alias("page_ord"),
         file_name(F.col("o_orderkey")).alias("file_name"),
