@@ -276,13 +276,14 @@ def index_documents(spark, sf_dir):
 
 @query(
     "attach_vectors",
-    """WITH w AS (SELECT doc_id, vec_id IS NULL AS without, coalesce(doc_id % 9 = 0, FALSE) AS short, doc_id % 11 = 0 AS twice
-                  FROM documents LEFT JOIN embeddings ON vec_id = doc_id)
-    SELECT doc_id AS document_id, concat_ws('; ',
-       CASE WHEN without OR twice THEN 'vectors: not one per chunk' END,
-       CASE WHEN short AND NOT without THEN 'vectors: not 64 long' END,
-       CASE WHEN twice AND NOT without THEN 'vectors: more than one model' END) AS errors FROM w
-    WHERE without OR short OR twice""",
+    """WITH w AS (SELECT coalesce(doc_id, vec_id) AS document_id, vec_id IS NULL OR doc_id IS NULL AS unpaired,
+                         coalesce(vec_id % 9 = 0, FALSE) AS short, coalesce(vec_id % 11 = 0, FALSE) AS twice
+                  FROM documents FULL JOIN embeddings ON vec_id = doc_id)
+    SELECT document_id, concat_ws('; ',
+       CASE WHEN unpaired OR twice THEN 'vectors: not one per chunk' END,
+       CASE WHEN short THEN 'vectors: not 64 long' END,
+       CASE WHEN twice THEN 'vectors: more than one model' END) AS errors FROM w
+    WHERE unpaired OR short OR twice""",
 )
 def attach_vectors(spark, sf_dir):
     chunks = table(spark, sf_dir, "documents").select(
