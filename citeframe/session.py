@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -46,28 +47,27 @@ def build_session(
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str | None:
+def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: `spark.checkpoint.dir` as the cluster
-    names it. Only a local session without that setting gets a folder of its own."""
+    names it. Only a single-process local session without that setting gets a
+    folder of its own; a cluster without it is an error, not a slower plan."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and spark.sparkContext.master.startswith("local"):
-        app = spark.sparkContext.applicationId
-        if app not in _LOCAL_FOLDERS:
-            _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        folder = _LOCAL_FOLDERS[app]
-    return folder
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder shared by driver and executors (master {master})")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL_FOLDERS[app]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes a result that several outputs share as a table and reads it back.
 
     Readers prune its columns, and a lost executor costs a re-read, not a re-run.
-    On a cluster that names no shared folder the plan is returned unchanged:
-    still right, only computed once per output.
     """
-    folder = shared_folder(df.sparkSession)
-    if not folder:
-        return df
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
