@@ -1,4 +1,8 @@
-"""A training-corpus pipeline: each stage works on what its predecessor kept."""
+"""A training-corpus pipeline: each stage works on what its predecessor kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read
+again as the docs of the next one. All but the last return the columns of `docs`.
+"""
 
 from __future__ import annotations
 
@@ -7,20 +11,54 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeframe.llm import lines
-from citeframe.session import shared_folder
+from citeframe.llm import decontaminate, lines, mixing, near_dedup, toxicity
+from citeframe.llm.catalog import quality_weight, toxicity_model, with_quality
+from citeframe.session import cut_lineage, shared_folder
 
 ORACLE_SQL = None
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not take for toxic."""
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.filter(F.col("predicted") == 0).select(*docs.columns)
+
+
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the boilerplate lines of their source; every document stays."""
-    out = lines.drop_boilerplate(docs, "source").select("doc.*", F.col("text").alias("_cleaned"))
-    columns = [F.col("_cleaned").alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "n_chars"]
-    return out.select(*columns, F.length("_cleaned").cast("long").alias("n_chars"))
+    cleaned = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    out = lines.drop_boilerplate(docs, "source")
+    return out.select(*[cleaned.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the document with the smallest id."""
+    linked = near_dedup.link_near_duplicates(docs)
+    dropped = linked.filter(~F.col("kept")).select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    dropped = cut_lineage(leaks.select("doc_id").distinct())
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with `copies`, how often, and `taken`, their words."""
+    plan = mixing.mix_sources(with_quality(spark, docs, sf_dir), quality=quality_weight(F.col("quality")))
+    taken = cut_lineage(plan.filter("copies > 0").select("doc_id", "copies", "taken").distinct())
+    return docs.join(taken, "doc_id").select(*docs.columns, "copies", "taken")
 
 
-STAGES = [("line dedup", drop_boilerplate_lines)]
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line dedup", drop_boilerplate_lines),
+    ("near dedup", keep_one_of_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
