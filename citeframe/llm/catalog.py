@@ -125,7 +125,7 @@ def with_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 @register("op7_source_mixing", MIX_SQL)
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_quality(spark, read(spark, sf_dir, "documents"), sf_dir)
-    return mixing.mix_sources(docs, quality=quality_weight(F.col("quality")))
+    return mixing.mix_sources(docs, quality=quality_weight(F.col("quality"))).drop("text_hash")
 
 
 CHAT_SQL = r"""

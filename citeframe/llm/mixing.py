@@ -66,7 +66,8 @@ def mix_sources(
     share: float = SHARE,
     seed: str = SEED,
 ) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, copies, taken.
+    """One row per input row: doc_id, source, size, source_size, target, copies, taken,
+    text_hash (xxhash64 of the text, to find the row again when its id is null or repeats).
 
     `quality` is a positive weight (default 1; null or not positive counts as 1).
     `copies` is how often the mix takes the document, `taken` its words times that. Of a
@@ -84,6 +85,7 @@ def mix_sources(
             F.col(id_col).cast("long").alias("doc_id"),
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
+            F.xxhash64(text_col).alias("text_hash"),
             (-F.log(uniform(identity, seed)) / weight).alias("key"),
         )
     )
@@ -119,5 +121,5 @@ def mix_sources(
     others = others.withColumn("chosen", F.coalesce(F.col("bucket") < F.col("end"), F.lit(True)))
     copies = F.col("epochs") + F.col("chosen").cast("long")
     return edge.unionByName(others).select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), "text_hash"
     )

@@ -2,6 +2,9 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read
 again as the docs of the next one. All but the last return the columns of `docs`.
+Rows with a null doc_id are scored, cleaned and mixed like others; near dedup and
+decontamination, which name documents by id, keep them. Rows that repeat an id stay or
+go together there. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -48,8 +51,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with `copies`, how often, and `taken`, their words."""
     plan = mixing.mix_sources(with_quality(spark, docs, sf_dir), quality=quality_weight(F.col("quality")))
-    taken = cut_lineage(plan.filter("copies > 0").select("doc_id", "copies", "taken").distinct())
-    return docs.join(taken, "doc_id").select(*docs.columns, "copies", "taken")
+    chosen = plan.filter("copies > 0").groupBy(F.col("doc_id").alias("_id"), "text_hash")
+    taken = cut_lineage(chosen.agg(F.max("copies").alias("_copies"), F.max("taken").alias("_taken")))
+    same = docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(docs.text) == F.col("text_hash"))
+    return docs.join(taken, same).select(*docs.columns, F.col("_copies").alias("copies"), F.col("_taken").alias("taken"))
 
 
 STAGES = [
