@@ -32,14 +32,14 @@ SCALES = {
 }
 # Words that say what a figure counts, by kind.
 UNIT_WORDS = {
-    "currency": ["dollars", "usd"],
-    "units": ["unit", "units"],
-    "area": ["gsf", "nrsf", "rsf", "sf", "sq", "square"],
-    "years": ["year", "years", "yr", "yrs"],
-    "other": [
-        "acre", "acres", "bed", "beds", "building", "buildings", "day", "days", "key", "keys", "mile", "miles",
-        "month", "months", "room", "rooms", "space", "spaces", "stories", "story",
-    ],
+    "dollars": "currency", "usd": "currency",
+    "unit": "units", "units": "units",
+    "gsf": "area", "nrsf": "area", "rsf": "area", "sf": "area", "sq": "area", "square": "area",
+    "year": "years", "years": "years", "yr": "years", "yrs": "years",
+    "acre": "other", "acres": "other", "bed": "other", "beds": "other", "building": "other", "buildings": "other",
+    "day": "other", "days": "other", "key": "other", "keys": "other", "mile": "other", "miles": "other",
+    "month": "other", "months": "other", "room": "other", "rooms": "other", "space": "other", "spaces": "other",
+    "stories": "other", "story": "other",
 }
 
 def is_close(a: Column, b: Column) -> Column:
@@ -83,7 +83,7 @@ def with_mentions(df: DataFrame, text: str, out: str = "mentions") -> DataFrame:
         word = F.regexp_extract(rest, _NEXT_WORD, 1)
         counted = F.when(F.length(rest) == F.length(past_mark), word != "").otherwise(past_mark.rlike(_NEXT_WORD))
         kind = F.when(percent, F.lit("percent")).when(currency, F.lit("currency"))
-        counts = spec.literal_map({w: name for name, unit_words in UNIT_WORDS.items() for w in unit_words})
+        counts = spec.literal_map(UNIT_WORDS)
         kind = kind.otherwise(F.coalesce(F.try_element_at(counts, word), F.lit("plain")))
         value = m["digits"] * F.coalesce(scale, F.lit(1.0))
         return F.struct(

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import spec, vocab
 from ..functions.plans import explode_computed
-from ..functions.text import casefold, single_spaced, strip
+from ..functions.text import single_spaced, strip
 from ..spec import literal_map
 from .checks import accepted, error_list, rejected
-from .vocabulary import _market_map, strict_type, with_strict_market
+from .vocabulary import _market_map
 
 # Limits of a mandate form.
 MAX_NAME_CHARS = 120
@@ -38,18 +38,13 @@ PROFILE_FIELDS = {
 }
 LISTS = ["asset_types", "target_markets", "excluded_markets", "preferences"]
 
-# The example mandate for demonstrations.
+# Fixed value: the name of the example mandate; its content is only an example.
 DEMO_NAME = "Demo - Sun Belt Value-Add Multifamily"
-DEMO_DESCRIPTION = (
-    "Example mandate for demos and testing only; not a real fund's criteria. "
-    "Targets value-add apartment communities in Sun Belt growth markets."
-)
+DEMO_DESCRIPTION = "Shows what a mandate can hold. Not a policy of any fund."
 DEMO_CRITERIA = (
-    '{"schema_version": 1, "asset_types": ["Multifamily"], "target_markets": ["Dallas-Fort Worth", "Austin", "Houston", '
-    '"San Antonio", "Phoenix", "Atlanta", "Charlotte", "Raleigh-Durham", "Nashville", "Tampa", "Orlando"], '
-    '"deal_size": {"min": 5000000, "max": 50000000}, "key_metrics": {"cap_rate": {"min": 5.5}, '
-    '"occupancy_rate": {"min": 90}}, "leverage": {"max_ltv": 65.0}, "preferences": '
-    '["Value-add business plan with interior renovation upside", "Garden-style or mid-rise product"]}'
+    '{"schema_version": 1, "asset_types": ["Industrial", "Self-Storage"], "target_markets": ["Memphis", "Savannah"], '
+    '"deal_size": {"min": 3000000, "max": 40000000}, "key_metrics": {"square_feet": {"min": 50000}}, '
+    '"leverage": {"max_interest_rate": 8}, "preferences": ["Close to a port"]}'
 )
 
 _SHAPE = (
@@ -62,7 +57,7 @@ _EMPTY = "array<string>"
 
 def tidy_list(items: Column) -> Column:
     """Single-spaced entries, blanks dropped, repeats (ignoring case) dropped keeping
-    the first spelling and the order. Lists hold at most fifty entries."""
+    the first spelling and the order."""
     spaced = F.filter(F.transform(items, single_spaced), lambda x: x != "")
     return F.filter(
         spaced,
@@ -76,7 +71,7 @@ def parse_criteria(df: DataFrame, criteria: str = "criteria") -> DataFrame:
     for name in LISTS:
         df = df.withColumn(
             f"_{name}",
-            tidy_list(F.slice(F.coalesce(F.col(f"_c.{name}"), F.array().cast(_EMPTY)), 1, MAX_LIST_ITEMS)),
+            tidy_list(F.coalesce(F.col(f"_c.{name}"), F.array().cast(_EMPTY))),
         )
     return df
 
@@ -135,6 +130,10 @@ def _number(value: Column) -> Column:
     return value.try_cast("double")
 
 
+def _has_key(name: str) -> Column:
+    return F.coalesce(F.array_contains("_keys", name), F.lit(False))
+
+
 def _range_problem(limits: Column, label: Column) -> Column:
     """First problem of a min/max map, or null."""
     low, high = F.try_element_at(limits, F.lit("min")), F.try_element_at(limits, F.lit("max"))
@@ -215,6 +214,20 @@ def validate_mandates(df: DataFrame) -> DataFrame:
             )
         return problems
 
+    def kind_of(path: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
+
+    def malformed(name: str, may_be_null: bool) -> Column:
+        """A section that is there but is no object; the loose reader would drop it."""
+        kind = kind_of(f"$.{name}")
+        fine = kind.startswith("OBJECT") | (F.lit(may_be_null) & (kind == "VOID"))
+        return F.when(~F.coalesce(fine, F.lit(True)), F.lit(f"{name}: not an object"))
+
+    entries = F.map_entries(F.from_json("criteria", "key_metrics map<string,string>")["key_metrics"])
+    loose_metrics = F.transform(
+        F.filter(entries, lambda e: ~F.coalesce(F.trim(e["value"]).startswith("{"), F.lit(False))),
+        lambda e: F.concat(F.lit("key_metrics."), e["key"], F.lit(": not a range")),
+    )
     leverage = F.col("_c.leverage")
     limits = ["max_ltv", "max_interest_rate"]
     lever_values = [F.try_element_at(leverage, F.lit(name)) for name in limits]
@@ -235,7 +248,9 @@ def validate_mandates(df: DataFrame) -> DataFrame:
         F.when(F.exists(_bounds(deal_size), lambda b: b < 0), F.lit("deal_size: negative")),
     )
     metrics = F.filter(
-        F.transform(F.map_entries("_c.key_metrics"), lambda e: _metric_problem(e["key"], e["value"])),
+        F.transform(
+            F.filter(F.map_entries("_c.key_metrics"), lambda e: e["value"].isNotNull()), lambda e: _metric_problem(e["key"], e["value"])
+        ),
         lambda e: e.isNotNull(),
     )
     both = F.array_sort(F.array_intersect("_k_target_markets", "_k_excluded_markets"))
@@ -261,7 +276,13 @@ def validate_mandates(df: DataFrame) -> DataFrame:
         lambda k: F.concat(k, F.lit(": not allowed")),
     )
     singles = [
-        F.when(F.coalesce(F.col("_c.schema_version"), F.lit("1")) != "1", F.lit("schema_version: not 1")),
+        F.when(
+            ~F.coalesce((F.col("_c.schema_version") == "1") & (kind_of("$.schema_version") == "BIGINT"), ~_has_key("schema_version")),
+            F.lit("schema_version: not 1"),
+        ),
+        malformed("deal_size", True),
+        malformed("leverage", True),
+        malformed("key_metrics", False),
         *[p for n in LISTS for p in list_problems(n)],
         F.when(deal_size.isNotNull(), size_problem),
         F.when(leverage.isNotNull(), leverage_problem),
@@ -270,7 +291,11 @@ def validate_mandates(df: DataFrame) -> DataFrame:
         no_text,
     ]
     errors = F.concat(
-        row_checks, unknown, F.array_compact(F.array(*singles)), F.coalesce(metrics, F.array().cast(_EMPTY))
+        row_checks,
+        unknown,
+        F.array_compact(F.array(*singles)),
+        F.coalesce(loose_metrics, F.array().cast(_EMPTY)),
+        F.coalesce(metrics, F.array().cast(_EMPTY)),
     )
     return (
         df.withColumn("errors", errors)
@@ -291,6 +316,11 @@ def problem_summary(errors: Column, limit: int = 3) -> Column:
     return F.when(more > 0, F.concat(shown, F.lit("; and "), more.cast("string"), F.lit(" more"))).otherwise(shown)
 
 
+def _value_free(error: Column) -> Column:
+    """A problem without the values it names."""
+    return F.regexp_replace(error, r"(unknown|excluded:) .*$", "$1")
+
+
 def criteria_rows(valid: DataFrame) -> DataFrame:
     """One row per hard criterion of a valid mandate: mandate_id, version, criterion,
     field_name, min, max, allowed. `valid` comes from `validate_mandates`."""
@@ -365,7 +395,10 @@ def list_mandates(mandates: DataFrame, organization_id=None, include_archived: b
     skipped = (
         rejected(checked)
         .groupBy("organization_id")
-        .agg(F.count(F.lit(1)).alias("skipped"))
+        .agg(
+            F.count(F.lit(1)).alias("skipped"),
+            F.min_by(problem_summary(F.transform("errors", _value_free)), "mandate_id").alias("first_problem"),
+        )
     )
     return readable.orderBy("organization_id", "name"), skipped
 
@@ -390,35 +423,84 @@ def select_for_screening(requests: DataFrame, mandates: DataFrame) -> DataFrame:
 # --- Batch changes -------------------------------------------------------------------
 
 
-def apply_edits(mandates: DataFrame, edits: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(mandates after the batch, every edit with its outcome). An edit applies when
-    its tenant and version match and the mandate is active; of several edits of one
-    version the first (by edit_ord) wins. `edits`: organization_id, mandate_id,
-    version, edit_ord, name, description, criteria, is_demo.
+# Keys of an edit, all required, and keys a client may send back.
+EDIT_KEYS = ["name", "description", "criteria", "is_demo", "version"]
+READ_ONLY_KEYS = ["id", "organization_id", "created_at", "updated_at", "is_archived"]
+
 
-    The winner per (mandate, version) is a partial aggregate: a mandate with very
-    many competing edits is reduced before the shuffle.
+def read_edits(requests: DataFrame) -> DataFrame:
+    """Edits from JSON (organization_id, mandate_id, edit_ord, payload), with
+    `payload_errors`. An edit replaces the whole mandate: every key must be there,
+    read-only keys are dropped, any other key is an error."""
+    keys = F.json_object_keys("payload")
+    allowed = F.array(*[F.lit(k) for k in EDIT_KEYS + READ_ONLY_KEYS])
+    required = F.array(*[F.lit(k) for k in EDIT_KEYS])
+    problems = F.concat(
+        F.transform(F.array_except(keys, allowed), lambda k: F.concat(k, F.lit(": not allowed"))),
+        F.transform(F.array_except(required, keys), lambda k: F.concat(k, F.lit(": missing"))),
+    )
+    values = F.from_json("payload", "name string, description string, is_demo boolean, version int")
+    return requests.select(
+        "organization_id", "mandate_id", "edit_ord", values["version"].alias("version"), values["name"].alias("name"),
+        values["description"].alias("description"), F.get_json_object("payload", "$.criteria").alias("criteria"),
+        values["is_demo"].alias("is_demo"),
+        F.coalesce(problems, F.array(F.lit("edit: not an object"))).alias("payload_errors"),
+    )
+
+
+def _name_key(name: Column) -> Column:
+    return F.lower(single_spaced(name))
+
+
+def apply_edits(mandates: DataFrame, edits: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(mandates after the batch, every edit with its outcome and errors). An edit is
+    validated first. It applies when its tenant and version match, the mandate is
+    active and no other active mandate of the organization has its name; of several
+    valid edits of one version, and of several edits that want one name, the first (by
+    edit_ord) wins. A name that an edit gives up stays taken until the next batch.
+    `edits`: organization_id, mandate_id, version, edit_ord, name, description,
+    criteria, is_demo and, from `read_edits`, payload_errors.
+
+    Winners are partial aggregates: a mandate with very many competing edits is
+    reduced before the shuffle. Joins are null-safe, so an edit without a key gets an
+    outcome too.
     """
     key = ["organization_id", "mandate_id"]
+    same = lambda *names: [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names]
+    under = lambda df, *names: df.withColumnsRenamed({n: f"_{n}" for n in names})
+    checked = validate_mandates(edits)
+    if "payload_errors" in edits.columns:
+        checked = checked.withColumn("errors", F.concat("payload_errors", "errors"))
     current = mandates.select(*key, F.col("version").alias("_now"), "is_archived")
-    winners = edits.groupBy(*key, "version").agg(F.min("edit_ord").alias("_first"))
-    judged = (
-        edits.join(current, key, "left")
-        .join(winners, [*key, "version"])
-        .withColumn(
-            "outcome",
-            F.when(F.col("_now").isNull(), F.lit("not_found"))
-            .when(F.col("is_archived"), F.lit("archived"))
-            .when(F.col("_now") != F.col("version"), F.lit("conflict"))
-            .when(F.col("edit_ord") != F.col("_first"), F.lit("conflict"))
-            .otherwise(F.lit("applied")),
-        )
-        .drop("_now", "_first", "is_archived")
+    judged = checked.join(under(current, *key), same(*key), "left").drop(*[f"_{k}" for k in key])
+    standing = (
+        F.when(F.size("errors") > 0, F.lit("invalid"))
+        .when(F.col("_now").isNull(), F.lit("not_found"))
+        .when(F.col("is_archived"), F.lit("archived"))
+        .when(~F.col("_now").eqNullSafe(F.col("version")), F.lit("conflict"))
     )
-    applied = judged.filter(F.col("outcome") == "applied").select(
-        *key, F.struct("name", "description", "criteria", "is_demo").alias("_new")
+    judged = judged.withColumn("outcome", standing).withColumn("_name", _name_key(F.col("name"))).drop("_now", "is_archived")
+    # Names of other active mandates.
+    names = mandates.filter(~F.col("is_archived")).groupBy(
+        F.col("organization_id").alias("_organization_id"), _name_key(F.col("name")).alias("_taken")
+    ).agg(F.min("mandate_id").alias("_least"), F.max("mandate_id").alias("_most"))
+    judged = judged.join(names, [F.col("organization_id").eqNullSafe(F.col("_organization_id")), F.col("_name") == F.col("_taken")], "left")
+    other = (F.col("_least") != F.col("mandate_id")) | (F.col("_most") != F.col("mandate_id"))
+    judged = judged.withColumn("outcome", F.coalesce("outcome", F.when(other, F.lit("duplicate_name"))))
+    judged = judged.drop("_organization_id", "_taken", "_least", "_most")
+    for group, refusal in ((key, "conflict"), (["organization_id", "_name"], "duplicate_name")):
+        first = judged.filter(F.col("outcome").isNull()).groupBy(*group).agg(F.min("edit_ord").alias("_first"))
+        joined = judged.join(under(first, *group), [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in group], "left")
+        late = F.col("outcome").isNull() & (F.col("edit_ord") != F.col("_first"))
+        judged = joined.withColumn("outcome", F.when(late, F.lit(refusal)).otherwise(F.col("outcome"))).drop(
+            "_first", *[f"_{n}" for n in group]
+        )
+    judged = judged.withColumn("outcome", F.coalesce("outcome", F.lit("applied")))
+    applied = _canonical(judged.filter(F.col("outcome") == "applied")).select(
+        *[F.col(k).alias(f"_{k}") for k in key],
+        F.struct(single_spaced(F.col("name")).alias("name"), "description", "criteria", "is_demo").alias("_new"),
     )
-    merged = mandates.join(applied, key, "left")
+    merged = mandates.join(applied, same(*key), "left")
     changed = F.col("_new").isNotNull()
     replaced = {
         name: F.when(changed, F.col(f"_new.{name}")).otherwise(F.col(name))
@@ -426,7 +508,35 @@ def apply_edits(mandates: DataFrame, edits: DataFrame, now: Column) -> tuple[Dat
     }
     replaced["version"] = F.when(changed, F.col("version") + 1).otherwise(F.col("version"))
     replaced["updated_at"] = F.when(changed, now).otherwise(F.col("updated_at"))
-    return merged.withColumns(replaced).select(*mandates.columns), judged
+    columns = [c for c in judged.columns if c != "_name"]
+    return merged.withColumns(replaced).select(*mandates.columns), judged.select(*columns)
+
+
+def _canonical(valid: DataFrame) -> DataFrame:
+    """Stored form of valid criteria: canonical lists, tidied preferences, bounds that
+    are set, whole numbers without a fraction."""
+    df = parse_criteria(valid)
+
+    def number(text: Column) -> Column:
+        value = _number(text)
+        whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
+        return F.parse_json(F.when(whole, value.cast("bigint").cast("string")).otherwise(value.cast("string")))
+
+    def limits(values: Column, names: list[str]) -> Column:
+        return F.struct(*[number(F.try_element_at(values, F.lit(n))).alias(n) for n in names])
+
+    metrics = F.transform_values("_c.key_metrics", lambda _, v: limits(v, ["min", "max"]))
+    deal_size, leverage = F.col("_c.deal_size"), F.col("_c.leverage")
+    stored = F.to_json(
+        F.struct(
+            F.lit(1).alias("schema_version"), "asset_types", "target_markets", "excluded_markets",
+            F.when(deal_size.isNotNull(), limits(deal_size, ["min", "max"])).alias("deal_size"),
+            metrics.alias("key_metrics"),
+            F.when(leverage.isNotNull(), limits(leverage, ["max_ltv", "max_interest_rate"])).alias("leverage"),
+            F.col("_preferences").alias("preferences"),
+        )
+    )
+    return df.withColumn("criteria", stored).drop("_c", "_keys", *[f"_{n}" for n in LISTS])
 
 
 def archive(mandates: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -467,20 +577,31 @@ def insert_absent(mandates: DataFrame, candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("_name", F.lower("name")).join(taken, ["organization_id", "_name"], "left_anti").drop("_name")
 
 
-def create_mandates(inputs: DataFrame, organizations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new rows at version 1, refused inputs with errors). Empty bounds are left out
-    of the stored criteria."""
-    known = organizations.select("organization_id").distinct().withColumn("_known", F.lit(True))
-    checked = validate_mandates(inputs).join(known, "organization_id", "left")
-    errors = F.concat(
-        "errors",
-        F.when(F.col("_known").isNull(), F.array(F.lit("organization: does not exist"))).otherwise(F.array().cast(_EMPTY)),
+def create_mandates(inputs: DataFrame, organizations: DataFrame, mandates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new rows at version 1 with canonical criteria, refused inputs with errors). A name
+    that an active one of `mandates`, or an earlier valid input (by mandate_id), has in the
+    organization is refused."""
+    known = organizations.select(F.col("organization_id").alias("_organization"), F.lit(True).alias("_known")).distinct()
+    checked = validate_mandates(inputs).join(known, F.col("organization_id") == F.col("_organization"), "left")
+    none = F.array().cast(_EMPTY)
+    unknown = F.when(F.col("_known").isNull(), F.array(F.lit("organization: does not exist"))).otherwise(none)
+    checked = checked.withColumn("errors", F.concat("errors", unknown)).withColumn("_name", _name_key(F.col("name"))).drop("_known", "_organization")
+    first = checked.filter(F.size("errors") == 0).groupBy(F.col("organization_id").alias("_organization"), F.col("_name").alias("_wanted")).agg(
+        F.min("mandate_id").alias("_first")
     )
-    checked = checked.withColumn("errors", errors).drop("_known")
+    same = (F.col("organization_id") == F.col("_organization")) & (F.col("_name") == F.col("_wanted"))
+    checked = checked.join(first, same, "left").drop("_organization", "_wanted")
+    late = (F.size("errors") == 0) & (F.col("mandate_id") != F.col("_first"))
+    if mandates is not None:
+        active = mandates.filter(~F.col("is_archived"))
+        names = active.select(F.col("organization_id").alias("_organization"), _name_key(F.col("name")).alias("_wanted"), F.lit(True).alias("_used")).distinct()
+        checked = checked.join(names, same, "left").drop("_organization", "_wanted")
+        late = late | ((F.size("errors") == 0) & F.col("_used").isNotNull())
+    taken = F.when(late, F.array(F.lit("name: already in use"))).otherwise(none)
+    checked = checked.withColumn("errors", F.concat("errors", taken)).drop("_name", "_first", "_used")
     created = (
-        accepted(checked)
+        _canonical(accepted(checked))
         .withColumn("name", single_spaced(F.col("name")))
-        .withColumn("criteria", F.regexp_replace("criteria", r'\s*"[A-Za-z_]+"\s*:\s*null\s*,|,?\s*"[A-Za-z_]+"\s*:\s*null', ""))
         .withColumn("version", F.lit(1))
         .withColumn("is_archived", F.lit(False))
     )

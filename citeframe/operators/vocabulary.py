@@ -17,8 +17,8 @@ PROFILE_MARKET_FIELDS = ["market", "submarket", "location", "address"]
 
 _ZIP = r"\s*\b\d{5}(?:-\d{4})?$"
 _TRAILING_STATE = r"^(.*\S)\s+([a-z]{2})(?:\s+\d{5}(?:-\d{4})?)?$"
-_FILLER = r"\b(?:" + "|".join(vocab.entries(vocab.FILLER)) + r")\b"
-_FOREIGN = r"\b(?:" + "|".join(vocab.entries(vocab.FOREIGN)) + r")\b"
+_FILLER = r"\b(?:" + "|".join(vocab.FILLER) + r")\b"
+_FOREIGN = r"\b(?:" + "|".join(vocab.FOREIGN) + r")\b"
 
 
 def tidy(text: Column) -> Column:
@@ -49,7 +49,7 @@ def market_vocabulary(spark: SparkSession) -> DataFrame:
 
 def vocabulary_problems(markets: DataFrame) -> DataFrame:
     """Names listed for two markets, and states nobody knows."""
-    codes = sorted(set(vocab.state_codes().values()))
+    codes = sorted(set(vocab.STATES.values()))
     shared = (
         markets.groupBy("alias_key")
         .agg(F.count_distinct("market").alias("n"))
@@ -82,7 +82,7 @@ def with_loose_type(df: DataFrame, text: str, out: str = "property_type") -> Dat
     df = df.withColumn("_key", vocabulary_key(F.col(text)))
     padded = F.concat(F.lit(" "), F.col("_key"), F.lit(" "))
     choices = [F.try_element_at(literal_map(vocab.exact_types()), F.col("_key"))]
-    for tier in sorted(vocab.TYPE_PHRASES):
+    for tier in (1, 2, 3):
         phrases = constant(
             [{"p": f" {p} ", "l": -len(p), "n": name} for t, name, p in vocab.type_phrases() if t == tier],
             "array<struct<p:string,l:int,n:string>>",
@@ -105,14 +105,14 @@ def _market_map() -> Column:
 
 
 def _is_state_code(word: Column) -> Column:
-    return F.array_contains(constant(sorted(set(vocab.state_codes().values())), "array<string>"), word)
+    return F.array_contains(constant(sorted(set(vocab.STATES.values())), "array<string>"), word)
 
 
 def _states_of(piece: Column) -> Column:
     """Sorted state codes when the piece is nothing but states, else empty."""
     bare = F.trim(F.regexp_replace(piece, _ZIP, ""))
     words = F.filter(F.split(bare, r"[\s/-]+"), lambda w: w != "")
-    named = F.try_element_at(literal_map(vocab.state_codes()), bare)
+    named = F.try_element_at(literal_map(vocab.STATES), bare)
     all_codes = (F.size(words) > 0) & F.forall(words, _is_state_code)
     return F.when(named.isNotNull(), F.array(named)).when(all_codes, F.array_sort(F.array_distinct(words))).otherwise(
         F.array().cast("array<string>")
@@ -146,7 +146,7 @@ def with_market_match(df: DataFrame, text: str, out: str = "match") -> DataFrame
     """Adds struct(market, confidence, matched_text): "exact" when a whole place in
     the text is a known name, "partial" when only words inside a place are. A named
     state rules out markets elsewhere; a foreign country rules out all."""
-    state_names = constant(sorted(vocab.state_codes()), "array<string>")
+    state_names = constant(sorted(vocab.STATES), "array<string>")
     df = df.withColumn("_tidy", tidy(F.col(text))).withColumn(
         "_parts", _pieces(F.regexp_replace("_tidy", _FILLER, " "))
     )

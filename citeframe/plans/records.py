@@ -447,7 +447,7 @@ def orphaned_children(spark, sf_dir):
 
 # --- Review ----------------------------------------------------------------------------
 
-_FIELDS = ["asking_price", "units", "market", "not_a_field"]
+_FIELDS = ["asking_price", "units", "market", "not_a_field", "review_feedback"]
 
 
 def _profiles(spark, sf_dir):
@@ -465,23 +465,34 @@ def _profiles(spark, sf_dir):
 
 
 def _review_corrections(spark, sf_dir):
-    """Every event corrects one field of its user's profile: the last by (ts, id) wins."""
+    """Every event corrects one field of its user's profile: the last by (ts, id) wins.
+    Some numbers come as text; some of these are not whole where they have to be."""
     key = F.col("event_id")
-    field = F.get(F.array(*[F.lit(f) for f in _FIELDS]), (key % 4).cast("int"))
+    field = F.get(F.array(*[F.lit(f) for f in _FIELDS]), (key % 5).cast("int"))
     cleared = key % 10 == 9
+    as_text = ~cleared & (key % 5 < 2) & (key % 3 == 1)
+    text = F.when(key % 7 == 1, F.concat(key.cast("string"), F.lit(".5"))).otherwise(key.cast("string"))
+    number = F.when(key % 5 == 0, F.col("value")).when(key % 5 == 1, F.floor("value") + F.when(key % 8 == 1, F.lit(0.5)).otherwise(F.lit(0.0)))
+    worded = F.when(as_text, text).when(~cleared & (key % 5).isin(2, 4), F.col("event_type"))
     return table(spark, sf_dir, "events").select(
         key.alias("batch_id"), F.col("user_id").alias("deal_id"), "ts", key.alias("seq"), field.alias("field_name"),
-        F.when(cleared, F.lit("null")).when(key % 4 == 2, F.lit("text")).otherwise(F.lit("number")).alias("kind"),
-        F.when(~cleared & (key % 4 == 0), F.col("value")).when(~cleared & (key % 4 == 1), F.floor("value") + F.when(key % 8 == 1, F.lit(0.5)).otherwise(F.lit(0.0))).alias("num_value"),
-        F.when(~cleared & (key % 4 == 2), F.col("event_type")).alias("text_value"),
+        F.when(cleared, F.lit("null")).when(as_text | (key % 5).isin(2, 4), F.lit("text")).otherwise(F.lit("number")).alias("kind"),
+        F.when(~cleared & ~as_text, number).alias("num_value"),
+        worded.alias("text_value"),
     )
 
 
 SQL_CORRECTIONS = """
-e AS (SELECT event_id, user_id AS deal_id, ts, CASE event_id % 4 WHEN 0 THEN 'asking_price' WHEN 1 THEN 'units' WHEN 2 THEN 'market' ELSE 'not_a_field' END AS field_name,
-             event_id % 10 = 9 AS cleared, event_id % 8 = 1 AS fractional, value, event_type FROM events),
-good AS (SELECT * FROM e WHERE field_name <> 'not_a_field' AND (cleared OR NOT (field_name = 'units' AND fractional))),
-last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY deal_id, field_name ORDER BY ts DESC, event_id DESC) AS r FROM good) WHERE r = 1),
+e AS (SELECT event_id, user_id AS deal_id, ts, ['asking_price', 'units', 'market', 'not_a_field', 'review_feedback'][event_id % 5 + 1] AS field_name,
+             event_id % 10 = 9 AS cleared, event_id % 10 <> 9 AND event_id % 5 < 2 AND event_id % 3 = 1 AS as_text, value, event_type,
+             c_custkey IS NOT NULL AS known FROM events LEFT JOIN customer ON c_custkey = user_id),
+n AS (SELECT *, CASE WHEN cleared THEN NULL WHEN as_text THEN event_id + CASE WHEN event_id % 7 = 1 THEN 0.5 ELSE 0 END::DOUBLE
+                     WHEN field_name = 'asking_price' THEN value
+                     WHEN field_name = 'units' THEN floor(value) + CASE WHEN event_id % 8 = 1 THEN 0.5 ELSE 0 END::DOUBLE END AS num FROM e),
+j AS (SELECT *, CASE WHEN field_name = 'not_a_field' THEN 'field_name: not a profile field'
+                     WHEN field_name = 'units' AND NOT cleared AND num <> floor(num) THEN 'value: wrong type'
+                     WHEN NOT known THEN 'deal_id: no such deal' END AS error FROM n),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY deal_id, field_name ORDER BY ts DESC, event_id DESC) AS r FROM j WHERE error IS NULL) WHERE r = 1),
 prof AS (SELECT c_custkey AS deal_id, 'asking_price' AS field_name, c_acctbal AS n, NULL AS t FROM customer
          UNION ALL SELECT c_custkey, 'market', NULL, c_mktsegment FROM customer)
 """
@@ -491,27 +502,22 @@ prof AS (SELECT c_custkey AS deal_id, 'asking_price' AS field_name, c_acctbal AS
     "apply_corrections",
     f"""WITH {SQL_CORRECTIONS}
     SELECT coalesce(prof.deal_id, last.deal_id) AS deal_id, coalesce(prof.field_name, last.field_name) AS field_name,
-           CASE WHEN last.deal_id IS NULL THEN n WHEN cleared THEN NULL WHEN last.field_name = 'asking_price' THEN value
-                WHEN last.field_name = 'units' THEN floor(value) END AS num_value,
-           CASE WHEN last.deal_id IS NULL THEN t WHEN cleared THEN NULL WHEN last.field_name = 'market' THEN event_type END AS text_value,
-           CAST(last.deal_id IS NOT NULL AS INTEGER) AS corrected
+           CASE WHEN last.deal_id IS NULL THEN n ELSE num END AS num_value,
+           CASE WHEN last.deal_id IS NULL THEN t WHEN cleared THEN NULL WHEN last.field_name IN ('market', 'review_feedback') THEN event_type END AS text_value,
+           CAST(last.deal_id IS NOT NULL AND last.field_name <> 'review_feedback' AS INTEGER) AS corrected
     FROM prof FULL JOIN last USING (deal_id, field_name)""",
 )
 def apply_corrections(spark, sf_dir):
-    checked = rv.check_corrections(_review_corrections(spark, sf_dir))
-    clean, _ = rv.split_batches(checked)
-    merged = rv.apply_corrections(_profiles(spark, sf_dir), clean, ["ts", "seq"])
+    profiles = _profiles(spark, sf_dir)
+    clean, _ = rv.split_batches(rv.check_corrections(_review_corrections(spark, sf_dir), profiles))
+    merged = rv.apply_corrections(profiles, clean, ["ts", "seq"])
     return merged.withColumn("corrected", F.col("corrected").cast("int"))
 
 
-@query(
-    "refused_corrections",
-    f"""WITH {SQL_CORRECTIONS}
-    SELECT event_id, CASE WHEN field_name = 'not_a_field' THEN 'field_name: not a profile field' ELSE 'value: wrong type' END AS error
-    FROM e WHERE event_id NOT IN (SELECT event_id FROM good)""",
-)
+@query("refused_corrections", f"WITH {SQL_CORRECTIONS} SELECT event_id, error FROM j WHERE error IS NOT NULL")
 def refused_corrections(spark, sf_dir):
-    _, refused = rv.split_batches(rv.check_corrections(_review_corrections(spark, sf_dir)))
+    checked = rv.check_corrections(_review_corrections(spark, sf_dir), _profiles(spark, sf_dir))
+    _, refused = rv.split_batches(checked)
     return refused.select(F.col("batch_id").alias("event_id"), F.get("errors", F.lit(0)).alias("error"))
 
 
@@ -708,14 +714,16 @@ def suite_report(spark, sf_dir):
               CAST(CASE WHEN event_id % 5 <> 0 THEN 2 ELSE 0 END AS BIGINT) AS status_rows FROM events WHERE event_type <> 'error'""",
 )
 def run_sink(spark, sf_dir):
-    """Writes runs, evidence and statuses as one batch, a second batch without its
-    commit, and reads back what is committed."""
+    """Writes runs, evidence and statuses as three batches, with ids that would be read
+    as equal numbers, a fourth one without its commit, and reads back what is committed."""
     root = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
     runs = cut_lineage(_run_profiles(spark, sf_dir))
-    tables = {"runs": runs, "evidence": rn.shred_evidence(runs), "statuses": rn.shred_statuses(runs)}
-    batches.write_batch(tables, root, "batch-1")
-    for name in ("evidence", "statuses"):  # a writer that fails before its commit
-        tables[name].write.parquet(f"{root}/{name}/batch_id=batch-2")
+    for number, batch_id in enumerate(("001", "1", "x/1")):
+        part = runs.filter(F.pmod(F.col("run_id"), F.lit(3)) == number)
+        batches.write_batch({"runs": part, "evidence": rn.shred_evidence(part), "statuses": rn.shred_statuses(part)}, root, batch_id)
+    for name, rows in (("evidence", rn.shred_evidence(runs)), ("statuses", rn.shred_statuses(runs))):
+        # A writer that fails before its commit.
+        rows.withColumn("batch_id", F.lit("retry-x")).write.parquet(f"{root}/{name}/batch=retry-x")
     counts = [
         batches.read_committed(spark, root, name).groupBy("run_id").agg(F.count(F.lit(1)).alias(f"{label}_rows"))
         for name, label in (("evidence", "evidence"), ("statuses", "status"))
@@ -728,6 +736,29 @@ def run_sink(spark, sf_dir):
     )
 
 
+@query(
+    "document_sink",
+    """SELECT doc_id AS document_id, CASE WHEN doc_id % 2 = 0 THEN '1' ELSE '001' END AS batch_id,
+              CASE WHEN doc_id % 2 = 0 THEN 1 ELSE len(string_split(text, chr(10))) END::BIGINT AS chunks FROM documents""",
+)
+def document_sink(spark, sf_dir):
+    """Indexes all documents by line, then every second one again as a single chunk; the
+    second batch also brings chunks of documents that do not exist."""
+    root = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    lines = docs.select("document_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "content"))
+    batches.merge_documents(docs, lines, root, "001")
+    again = docs.filter("document_id % 2 = 0")
+    whole = docs.select(
+        F.when(F.col("document_id") % 2 == 0, F.col("document_id")).otherwise(-1 - F.col("document_id")).alias("document_id"),
+        F.lit(0).alias("chunk_index"),
+        F.col("text").alias("content"),
+    )
+    stored, parts = batches.merge_documents(again, whole, root, "1")
+    counted = parts.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"))
+    return stored.select("document_id", "batch_id").join(counted, "document_id", "left")
+
+
 @query(
     "profile_snapshot",
     """WITH saves AS (SELECT user_id AS deal_id, props, event_id FROM events),

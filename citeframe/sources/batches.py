@@ -7,26 +7,49 @@ id on a retry, and its folders are overwritten, so nothing is doubled.
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _folder(root: str, name: str, batch_id: str) -> str:
+    """Folder of one batch of a table; the id is made safe for a file name."""
+    return f"{root}/{name}/batch={quote(batch_id, safe='')}"
+
+
 def write_batch(tables: dict[str, DataFrame], root: str, batch_id: str) -> None:
+    """Writes every table with a string column `batch_id`, then the commit row."""
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch_id}")
+        df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(_folder(root, name, batch_id))
     spark = next(iter(tables.values())).sparkSession
-    commit = spark.range(1).select(F.current_timestamp().alias("committed_at"))
-    commit.write.mode("overwrite").parquet(f"{root}/commits/batch_id={batch_id}")
+    commit = spark.range(1).select(F.lit(batch_id).alias("batch_id"), F.current_timestamp().alias("committed_at"))
+    commit.write.mode("overwrite").parquet(_folder(root, "commits", batch_id))
 
 
 def read_committed(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Rows of committed batches. Batch ids are folder names, so uncommitted batches
-    are pruned without reading their files."""
-    ids = spark.read.parquet(f"{root}/commits").select(F.col("batch_id").cast("string").alias("batch_id"))
-    rows = spark.read.parquet(f"{root}/{name}").withColumn("batch_id", F.col("batch_id").cast("string"))
+    """Rows of committed batches. Ids are read from the files, as text: folder names
+    would be guessed as numbers or dates, differently for each table."""
+    ids = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/commits").select("batch_id").distinct()
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/{name}")
     return rows.join(ids, "batch_id", "left_semi")
 
 
+def merge_documents(
+    documents: DataFrame, chunks: DataFrame, root: str, batch_id: str
+) -> tuple[DataFrame, DataFrame]:
+    """Stores documents and chunks as one batch and returns all stored ones: of a document
+    written again the latest batch counts, and chunks of other batches of it are dropped,
+    as are chunks without a document."""
+    write_batch({"documents": documents, "chunks": without_orphans(chunks, documents)}, root, batch_id)
+    spark = documents.sparkSession
+    stored, parts = read_committed(spark, root, "documents"), read_committed(spark, root, "chunks")
+    commits = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/commits")
+    latest = stored.join(commits, "batch_id").groupBy("document_id").agg(F.max_by("batch_id", "committed_at").alias("batch_id"))
+    key = ["document_id", "batch_id"]
+    return stored.join(latest, key, "left_semi"), parts.join(latest, key, "left_semi")
+
+
 def without_orphans(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Chunks whose document exists."""
     return chunks.join(documents.select("document_id"), "document_id", "left_semi")
