@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
+def _store(df: DataFrame) -> DataFrame:
+    """A table in as many files as the cluster has cores: edges are few and small."""
+    return cut_lineage(df.coalesce(df.sparkSession.sparkContext.defaultParallelism))
+
+
 def _marks(edges: DataFrame) -> tuple:
     """Count and order-free checksum, to see whether a round changed anything."""
     total = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
@@ -23,7 +28,7 @@ def _marks(edges: DataFrame) -> tuple:
 def _minima(edges: DataFrame) -> DataFrame:
     """Smallest neighbour of each left end, as a table: a join with it can then be
     split by adaptive execution when one node has a large part of all edges."""
-    return cut_lineage(edges.groupBy("a").agg(F.min("b").alias("low")).withColumnRenamed("a", "node"))
+    return _store(edges.groupBy("a").agg(F.min("b").alias("low")).withColumnRenamed("a", "node"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -49,13 +54,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Nodes without an edge to another node have no row.
     """
     valid = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    current = cut_lineage(valid)
+    current = _store(valid)
     marks = _marks(current)
     while marks[0]:
-        current = cut_lineage(_small_star(cut_lineage(_large_star(current))))
+        current = _store(_small_star(_store(_large_star(current))))
         before, marks = marks, _marks(current)
         if marks == before:
             break
     leaves = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return cut_lineage(leaves.union(roots))
+    return _store(leaves.union(roots))

@@ -9,9 +9,11 @@
    so a pair whose XOR has more bits than that bound allows cannot be a link.
 4. Candidates that pass are confirmed on their full shingle sets.
 
-A bucket is never paired with itself wholesale. Each turn compares its members with one
-chosen member, and turns go on with other choices while buckets still hold several
-components. Pairs that are left between different components are then all compared.
+A bucket is never paired with itself wholesale. Each turn compares its members with two
+chosen members, and turns go on with other choices while very large buckets still hold
+several components. Pairs that are left between different components are then all
+compared, by a second, more precise odd sketch that only documents with a shared bucket
+get, each pair in one of its buckets; only pairs close to the threshold come out.
 """
 
 from __future__ import annotations
@@ -33,8 +35,13 @@ from .words import hash_words, lists_of, mix, shingle_stream, small_batches, spl
 BAND_ROWS = 5
 MISS = 1e-6
 SKETCH_BITS = 512
+PRECISE_SAMPLES = 2048
+PRECISE_BITS = 8192
 _PIECE = 2048
+_FUNCTIONS = 128
 _MOST_TURNS = 6
+# Pairs a bucket row may be compared with before further turns are worth their joins.
+_PAIRS_A_ROW = 1000
 
 
 def band_count(threshold: float, rows: int = BAND_ROWS, miss: float = MISS) -> int:
@@ -46,12 +53,20 @@ def most_differing(samples: int, threshold: float, tail: float = 1e-9) -> int:
     a probability below `tail`."""
     left = 1.0
     for d in range(samples + 1):
-        left -= math.comb(samples, d) * (1 - threshold) ** d * threshold ** (samples - d)
+        ways = math.lgamma(samples + 1) - math.lgamma(d + 1) - math.lgamma(samples - d + 1)
+        left -= math.exp(ways + d * math.log(1 - threshold) + (samples - d) * math.log(threshold))
         if left < tail:
             return d
     return samples
 
 
+def most_bits(differing: int, bits: int) -> int:
+    """Bits in which two sketches may differ: 2 for every differing sample, or, where many
+    of them fall together, what is expected plus six standard deviations."""
+    share = (1 - (1 - 2 / bits) ** (2 * differing)) / 2
+    return min(2 * differing, math.ceil(bits * share + 6 * math.sqrt(bits * share * (1 - share))))
+
+
 def _factors(samples: int) -> np.ndarray:
     """One odd factor per MinHash function; the shingle hashes are mixed already."""
     return mix(np.arange(1, samples + 1, dtype=np.uint64)) | np.uint64(1)
@@ -65,7 +80,7 @@ def argmin_shingles(shingles: np.ndarray, samples: int) -> np.ndarray:
 def minhash(sets: list[np.ndarray], samples: int) -> np.ndarray:
     """One row of `samples` minima per (non-empty) set. Works on pieces of bounded size
     that may span several sets, or be a part of a long one."""
-    factors = _factors(samples)
+    factors = _factors(samples)[:, None]
     values, ends = np.concatenate(sets), np.cumsum([len(s) for s in sets])
     starts = ends - [len(s) for s in sets]
     out = np.full((len(sets), samples), np.iinfo(np.uint64).max, np.uint64)
@@ -74,9 +89,11 @@ def minhash(sets: list[np.ndarray], samples: int) -> np.ndarray:
         first = int(np.searchsorted(starts, low, "right")) - 1
         inside = starts[first + 1 : np.searchsorted(starts, high, "left")]
         cuts = np.concatenate([[0], inside - low])
-        minima = np.minimum.reduceat(factors[:, None] * values[None, low:high], cuts, axis=1)
         rows = slice(first, first + len(cuts))
-        out[rows] = np.minimum(out[rows], minima.T)
+        for k in range(0, samples, _FUNCTIONS):
+            some = slice(k, k + _FUNCTIONS)
+            minima = np.minimum.reduceat(factors[some] * values[None, low:high], cuts, axis=1)
+            out[rows, some] = np.minimum(out[rows, some], minima.T)
     return out
 
 
@@ -122,17 +139,30 @@ def _shingles(size: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             sets = [np.unique(shingle_stream(hash_words(split_words(t.as_py())), size)) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lists_of(sets)], names=["node", "shingles"])
+            sketches = [odd_sketch(minhash(sets[k : k + 256], PRECISE_SAMPLES), PRECISE_BITS) for k in range(0, len(sets), 256)]
+            precise = lists_of(list(np.concatenate(sketches)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists_of(sets), precise], names=["node", "shingles", "precise"])
 
     return work
 
 
-def _likely(a: str, b: str, percent: int, differing: int) -> Column:
+def _likely(a: str, b: str, percent: int, most: int) -> Column:
     """The set sizes allow a link, and the sketches differ in few enough bits."""
     size_a, size_b = F.col(f"{a}.n"), F.col(f"{b}.n")
     words = [F.bit_count(F.get(F.col(f"{a}.sketch"), F.lit(k)).bitwiseXOR(F.get(F.col(f"{b}.sketch"), F.lit(k)))) for k in range(SKETCH_BITS // 64)]
     sizes = F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * percent
-    return sizes & (reduce(lambda x, y: x + y, words) <= 2 * differing)
+    return sizes & (reduce(lambda x, y: x + y, words) <= most)
+
+
+def _first_shared(a: str, b: str, bands: int) -> Column:
+    """The key of the first band in which two documents agree."""
+    keys = [(F.get(F.col(f"{a}.keys"), F.lit(k)), F.get(F.col(f"{b}.keys"), F.lit(k))) for k in range(bands)]
+    return F.coalesce(*[F.when(x == y, x) for x, y in keys])
+
+
+def _precisely(a: str, b: str, most: int) -> Column:
+    bits = F.zip_with(f"{a}.precise", f"{b}.precise", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(bits, F.lit(0), lambda total, x: total + x) <= most
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -157,8 +187,10 @@ def _with_components(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return joined.withColumn("component", F.coalesce("found", "node")).drop("other", "found")
 
 
-def _links(members: DataFrame, sets: DataFrame, percent: int, differing: int) -> DataFrame | None:
+def _links(members: DataFrame, sets: DataFrame, keys_of: DataFrame, percent: int, bands: int, band_rows: int) -> DataFrame | None:
     """(node, component) of all nodes with a link; None when there is no pair at all."""
+    most = most_bits(most_differing(bands * band_rows, percent / 100), SKETCH_BITS)
+    most_precise = most_bits(most_differing(PRECISE_SAMPLES, percent / 100), PRECISE_BITS)
     edges: DataFrame | None = None
     tested: DataFrame | None = None
     labels: DataFrame | None = None
@@ -182,11 +214,20 @@ def _links(members: DataFrame, sets: DataFrame, percent: int, differing: int) ->
         left, width = keys.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2), F.sum("m")).first()
         if not left:
             break
-        if turn and (left <= 4 * width or turn == _MOST_TURNS):
-            # Few pairs are left between components, or turns have stopped paying: all the rest.
-            me, you = pool.alias("me"), pool.alias("you")
-            rest = me.join(you, F.col("me.key") == F.col("you.key")).filter(
-                (F.col("me.component") < F.col("you.component")) & _likely("me", "you", percent, differing)
+        if turn and (left <= _PAIRS_A_ROW * width or turn == _MOST_TURNS):
+            # Turns have done, or have stopped paying: all pairs that are left.
+            mixed = keys.select(F.col("key").alias("bucket"))
+            detail = sets.select(F.col("node").alias("of"), "precise").join(keys_of.select(F.col("node").alias("of"), "keys"), "of")
+            open_ = pool.join(mixed, pool.key == F.col("bucket"), "left_semi")
+            open_ = cut_lineage(open_.join(detail, open_.node == F.col("of")).drop("of"))
+            me, you = open_.alias("me"), open_.alias("you")
+            rest = me.join(
+                you,
+                (F.col("me.key") == F.col("you.key"))
+                & (F.col("me.component") < F.col("you.component"))
+                & _likely("me", "you", percent, most)
+                & (_first_shared("me", "you", bands) == F.col("me.key"))
+                & _precisely("me", "you", most_precise),
             )
             take(rest.select(*_in_order("me", "you")))
             break
@@ -201,7 +242,7 @@ def _links(members: DataFrame, sets: DataFrame, percent: int, differing: int) ->
         )
         near = pool.alias("me").join(centers, F.col("me.key") == F.col("bucket"))
         pairs = [
-            near.filter((F.col("me.component") != F.col(f"{c}.component")) & _likely("me", c, percent, differing)).select(*_in_order("me", c))
+            near.filter((F.col("me.component") != F.col(f"{c}.component")) & _likely("me", c, percent, most)).select(*_in_order("me", c))
             for c in ("x", "y")
         ]
         take(pairs[0].union(pairs[1]))
@@ -228,7 +269,6 @@ def link_near_duplicates(
     ship_package(df.sparkSession)
     threshold = percent / 100
     bands = band_count(threshold, band_rows)
-    differing = most_differing(bands * band_rows, threshold)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = cut_lineage(
         docs.mapInArrow(_signatures(shingle_words, bands, band_rows), "id long, digest binary, n long, keys array<long>, sketch array<long>")
@@ -246,8 +286,8 @@ def link_near_duplicates(
     members = cut_lineage(held.join(sketches, held.member == sketches.node).select("key", "node", "n", "sketch"))
     wanted = cut_lineage(members.select(F.col("node").alias("id")).distinct())
     texts = docs.join(wanted, "id", "left_semi").dropDuplicates(["id", "text"])
-    sets = cut_lineage(texts.mapInArrow(_shingles(shingle_words), "node long, shingles array<long>"))
-    labels = _links(members, sets, percent, differing)
+    sets = cut_lineage(texts.mapInArrow(_shingles(shingle_words), "node long, shingles array<long>, precise array<long>"))
+    labels = _links(members, sets, classes.select("node", "keys"), percent, bands, band_rows)
     named = classes.select("digest", "node")
     if labels is not None:
         named = _with_components(named, labels)
