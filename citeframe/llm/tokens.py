@@ -46,8 +46,9 @@ def _encoder(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
 def token_spans(text: str, path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
     """Start and end byte of every token."""
     encoder, lengths = _encoder(path)
-    ends = np.cumsum(lengths[np.fromiter(encoder.encode_ordinary(text), np.int64)])
-    return np.concatenate([[0], ends[:-1]]).astype(np.int64), ends
+    sizes = lengths[np.fromiter(encoder.encode_ordinary(text), np.int64)]
+    ends = np.cumsum(sizes)
+    return ends - sizes, ends
 
 
 def char_starts(raw: bytes) -> np.ndarray:
