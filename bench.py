@@ -44,8 +44,6 @@ def main() -> None:
         f"local[{cpus}]",
         shuffle_partitions=cpus * 2,
         driver_memory="12g",
-        # Small local data: keep every core busy instead of merging to few partitions.
-        extra={"spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     times = {}

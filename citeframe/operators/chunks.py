@@ -82,24 +82,21 @@ def chunk_pages(
         "_spans", lambda s: strip(F.substr(F.col("_text"), s["start"] + F.lit(1), s["stop"] - s["start"]))
     )
     kept = spans.withColumn("_contents", F.filter(contents, lambda c: c != ""))
-    chunks = explode_computed(
-        kept, "_contents", "content", pos="chunk_ord", keep=[*keys, "page_ord", "page_number"]
-    )
-    return number_chunks(chunks, kept, keys) if numbered else chunks
+    if numbered:
+        kept = number_pages(kept, keys)
+        chunks = explode_computed(
+            kept, "_contents", "content", pos="chunk_ord", keep=[*keys, "page_ord", "page_number", "_before"]
+        )
+        return chunks.withColumn("chunk_index", (F.col("_before") + F.col("chunk_ord")).cast("int")).drop("_before")
+    return explode_computed(kept, "_contents", "content", pos="chunk_ord", keep=[*keys, "page_ord", "page_number"])
 
 
-def number_chunks(chunks: DataFrame, kept: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Adds chunk_index. Chunks per page are counted first; the running sum over a
-    document's pages sees one short row per page (documents hold at most 1,000
-    pages), never the text."""
-    counts = kept.select(*keys, "page_ord", F.size("_contents").alias("_n"))
+def number_pages(kept: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Adds `_before`, the chunks of a document before each page. The pages of a document
+    (at most 1,000) meet once, already cut, so nothing is cleaned or cut twice."""
     before = Window.partitionBy(*keys).orderBy("page_ord").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return (
-        chunks.join(offsets.select(*keys, "page_ord", "_before"), [*keys, "page_ord"])
-        .withColumn("chunk_index", (F.col("_before") + F.col("chunk_ord")).cast("int"))
-        .drop("_before")
-    )
+    slim = kept.select(*keys, "page_ord", "page_number", "_contents")
+    return slim.withColumn("_before", F.coalesce(F.sum(F.size("_contents")).over(before), F.lit(0)))
 
 
 def attach_vectors(chunks: DataFrame, vectors: DataFrame, dimensions: int = VECTOR_LENGTH) -> tuple[DataFrame, DataFrame]:

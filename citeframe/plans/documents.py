@@ -29,13 +29,14 @@ def _conversation_pages(spark, sf_dir):
     "page_source_checked",
     """WITH p AS (
       SELECT conv_id AS doc_id, CASE WHEN conv_id % 10 = 1 THEN greatest(turn, 1) ELSE turn + 1 END AS page_number,
-             CASE WHEN conv_id % 10 = 2 THEN '  ' ELSE text END AS text FROM conversations),
+             CASE WHEN conv_id % 10 = 2 THEN '  ' ELSE text END AS text FROM conversations
+      UNION ALL SELECT conv_id, turn + 1 + 10 * unnest(range(1, 200)), text FROM conversations WHERE conv_id % 10 = 3),
     d AS (
       SELECT doc_id, count(*) AS pages, count(DISTINCT page_number) AS distinct_pages,
              count(*) FILTER (trim(text) <> '') AS readable FROM p GROUP BY doc_id)
     SELECT doc_id, pages AS page_count, concat_ws('; ',
              CASE WHEN distinct_pages < pages THEN 'page: appears more than once' END,
-             CASE WHEN pages > 4 THEN 'document: more than 4 pages' END,
+             CASE WHEN pages > 500 THEN 'document: more than 500 pages' END,
              CASE WHEN readable = 0 THEN 'document: no readable text' END) AS errors FROM d""",
 )
 def page_source_checked(spark, sf_dir):
@@ -44,7 +45,10 @@ def page_source_checked(spark, sf_dir):
     pages = pages.withColumn(
         "page_number", F.when(key == 1, F.greatest(F.col("page_number") - 1, F.lit(1))).otherwise(F.col("page_number"))
     ).withColumn("text", F.when(key == 2, F.lit("  ")).otherwise(F.col("text")))
-    return pg.check_documents(pages, max_pages=4).withColumn("errors", F.array_join("errors", "; "))
+    # Every tenth document comes 200 times over, which takes it past the page limit.
+    copies = pages.filter(key == 3).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(199))))
+    longer = copies.withColumn("page_number", F.col("page_number") + 10 * F.col("_copy")).drop("_copy")
+    return pg.check_documents(pages.unionByName(longer)).withColumn("errors", F.array_join("errors", "; "))
 
 
 @query(
@@ -109,19 +113,29 @@ t AS (SELECT doc_id, string_agg(block, chr(10) || chr(10) ORDER BY turn) AS docu
 
 @query(
     "document_fingerprints",
-    f"WITH {SQL_BLOCKS} SELECT doc_id, sha256(document_text) AS input_sha256 FROM t WHERE length(document_text) <= 20000",
+    f"WITH {SQL_BLOCKS} SELECT doc_id, sha256(document_text) AS input_sha256 FROM t WHERE length(document_text) <= 600000",
 )
 def document_fingerprints(spark, sf_dir):
-    texts, _ = pg.document_texts(_conversation_pages(spark, sf_dir), max_chars=20_000)
+    texts, _ = pg.document_texts(_conversation_pages(spark, sf_dir))
     return texts.select("doc_id", "input_sha256")
 
 
 @query(
     "oversized_documents",
-    f"WITH {SQL_BLOCKS} SELECT doc_id, length(document_text) AS n_chars FROM t WHERE length(document_text) > 5000",
+    f"""WITH b AS (SELECT doc_id % 100 AS doc_id, '--- set_' || (doc_id % 100) || ' | Page ' || (doc_id // 100 + 1) || ' ---' || chr(10) || trim(text, {SQL_BLANKS}) AS block
+                   FROM (SELECT doc_id, repeat(text, 30) AS text FROM documents)),
+    t AS (SELECT doc_id, sum(length(block)) + (count(*) - 1) * 2 AS n_chars FROM b GROUP BY doc_id)
+    SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars FROM t WHERE n_chars > 600000""",
 )
 def oversized_documents(spark, sf_dir):
-    return pg.document_texts(_conversation_pages(spark, sf_dir), max_chars=5_000)[1]
+    """A hundred document sets whose pages are whole texts, thirty times over."""
+    docs = table(spark, sf_dir, "documents")
+    part, page = F.col("doc_id") % 100, F.floor(F.col("doc_id") / 100).cast("int")
+    pages = docs.select(
+        part.alias("doc_id"), page.alias("page_ord"), F.concat(F.lit("set_"), part.cast("string")).alias("file_name"),
+        (page + 1).alias("page_number"), F.repeat("text", 30).alias("text"),
+    )
+    return pg.document_texts(pages)[1]
 
 
 def _document_pages(spark, sf_dir):
@@ -277,17 +291,20 @@ def index_documents(spark, sf_dir):
 @query(
     "attach_vectors",
     """WITH w AS (SELECT coalesce(doc_id, vec_id) AS document_id, vec_id IS NULL OR doc_id IS NULL AS unpaired,
-                         coalesce(vec_id % 9 = 0, FALSE) AS short, coalesce(vec_id % 11 = 0, FALSE) AS twice
+                         coalesce(vec_id % 9 = 0, FALSE) AS short, coalesce(vec_id % 11 = 0, FALSE) AS twice,
+                         coalesce(doc_id % 13 = 0, FALSE) AS blank
                   FROM documents FULL JOIN embeddings ON vec_id = doc_id)
     SELECT document_id, concat_ws('; ',
        CASE WHEN unpaired OR twice THEN 'vectors: not one per chunk' END,
        CASE WHEN short THEN 'vectors: not 64 long' END,
+       CASE WHEN blank THEN 'chunks: blank text' END,
        CASE WHEN twice THEN 'vectors: more than one model' END) AS errors FROM w
-    WHERE unpaired OR short OR twice""",
+    WHERE unpaired OR short OR twice OR blank""",
 )
 def attach_vectors(spark, sf_dir):
     chunks = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_index"), F.lit("some text").alias("content")
+        F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_index"),
+        F.when(F.col("doc_id") % 13 == 0, F.lit(" \n")).otherwise(F.col("text")).alias("content"),
     )
     key = F.col("vec_id")
     base = table(spark, sf_dir, "embeddings").select(
@@ -306,7 +323,7 @@ def attach_vectors(spark, sf_dir):
          CASE WHEN doc_id % 7 = 0 THEN 'source_type: unknown' END,
          CASE WHEN doc_id % 5 = 0 THEN 'page_count: not positive' END,
          CASE WHEN doc_id % 3 = 0 THEN 'storage_path: not unique' END) AS errors,
-         CAST(CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 0 END AS BIGINT) AS bad_chunks
+         CAST(CASE WHEN doc_id % 4 = 0 OR doc_id % 6 = 1 THEN 2 ELSE 0 END AS BIGINT) AS bad_chunks
        FROM documents""",
 )
 def index_checked(spark, sf_dir):
@@ -321,7 +338,7 @@ def index_checked(spark, sf_dir):
     chunks = table(spark, sf_dir, "documents").select(
         key.alias("document_id"), F.lit(1).alias("page_number"),
         F.explode(F.when(key % 4 == 0, F.array(F.lit(0), F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("chunk_index"),
-        F.lit("x").alias("content"),
+        F.when(key % 6 == 1, F.lit("")).otherwise(F.col("text")).alias("content"),
     )
     documents, rows = ch.check_index(docs, chunks)
     bad = rows.groupBy("document_id").agg(F.count_if(F.size("errors") > 0).alias("bad_chunks"))

@@ -12,11 +12,6 @@ from citeframe.plans.catalog import ORACLES, QUERIES  # noqa: E402
 from compare import TABLES, rows_of  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
-# Built on the full integrity run; one of each kind is enough here.
-SLOW = {
-    "capped_passages", "canonical_citations", "conflicting_citations", "same_label_conflicts", "field_statuses",
-    "field_evidence", "dismissed_conflicts", "resolve_withheld", "integrity_outcomes",
-}
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +24,7 @@ def con():
     return connection
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLES and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLES])
 def test_query_matches_sql(spark, con, name):
     df = QUERIES[name](spark, SF_DIR)
     result = con.execute(ORACLES[name])
