@@ -141,6 +141,7 @@ def check_citations(values: DataFrame, citations: DataFrame, pages: DataFrame) -
         .when(~F.col("q_found"), F.lit("snippet_not_on_page"))
         .when(~quote_only & ~F.col("_value_ok"), F.lit("value_not_in_snippet"))
     )
+    # The sentences a reviewer reads are stored with a run.
     detail = (
         F.when(F.col("reason") == "page_not_in_document", F.col("page_problem"))
         .when(
