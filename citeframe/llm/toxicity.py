@@ -19,16 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_package
-from .words import lists_of, small_batches
+from .words import small_batches
 
-SIZES = (3, 4, 5)
+SIZES = (3, 4, 5, 7)
 BUCKETS = 1 << 18
 THRESHOLD = 0.3
 MAX_TRAIN_ROWS = 4000
 LEAST_DOCS = 3
-LEAST_RATIO = 0.1
-_PENALTY = 1e-3
-_STEPS = 200
+LEAST_RATIO = 1.0
+_PENALTY = 1e-5
+_STEPS = 300
 
 
 @dataclass(frozen=True)
@@ -53,28 +53,53 @@ def features(text: str | None) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of each class that have a feature, per task; feature -1 counts all."""
+    counts = np.zeros((2, BUCKETS + 1), np.int64)
     for batch in small_batches(batches, "text"):
-        sets = [np.unique(features(t.as_py())) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), lists_of(sets)], names=["label", "features"])
+        for label, text in zip(batch.column("label").to_pylist(), batch.column("text")):
+            counts[label, np.unique(features(text.as_py()))] += 1
+            counts[label, BUCKETS] += 1
+    found = np.flatnonzero(counts.any(axis=0))
+    ids = np.where(found == BUCKETS, -1, found)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int32()), pa.array(counts[1, found]), pa.array(counts[0, found])], names=["feature", "pos", "neg"]
+    )
+
+
+def log_count_ratios(rows: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Naive Bayes log-count ratio per feature over (label, text) rows, 0 for rare or
+    undecided features, and the number of documents of either class."""
+    found = rows.mapInArrow(_class_counts, "feature int, pos long, neg long").groupBy("feature").agg(F.sum("pos"), F.sum("neg")).toArrow()
+    ids, pos_of, neg_of = (found.column(k).to_numpy() for k in range(3))
+    pos, neg = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+    pos[ids], neg[ids] = pos_of, neg_of
+    n_pos, n_neg = int(pos[-1]), int(neg[-1])
+    pos, neg = pos[:-1], neg[:-1]
+    ratio = np.log(((pos + 1) / (n_pos + 2)) / ((neg + 1) / (n_neg + 2)))
+    ratio[(pos + neg < LEAST_DOCS) | (np.abs(ratio) < LEAST_RATIO)] = 0.0
+    return ratio.astype(np.float32), n_pos, n_neg
 
 
-def train(labels: np.ndarray, sets: list[np.ndarray]) -> Model:
-    """Naive Bayes ratios, then full-batch logistic regression with an L2 penalty."""
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    ids = np.concatenate(sets) if sets else np.empty(0, np.int64)
+def _with_ratio(ratio: np.ndarray):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            sets = [np.unique(features(t.as_py())) for t in batch.column("text")]
+            sets = [ids[ratio[ids] != 0].astype(np.int32) for ids in sets]
+            ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), lists], names=["label", "features"])
+
+    return work
+
+
+def train(labels: np.ndarray, sets: list[np.ndarray], ratio: np.ndarray) -> Model:
+    """Full-batch logistic regression with an L2 penalty on features scaled by `ratio`."""
     y = labels.astype(float)
-    if not len(y) or y.min() == y.max():
-        rate = (y.sum() + 1) / (len(y) + 2)
-        return Model(np.zeros(BUCKETS, np.float32), float(np.log(rate / (1 - rate))))
-    pos = np.bincount(ids, y[rows], minlength=BUCKETS)
-    neg = np.bincount(ids, minlength=BUCKETS) - pos
-    ratio = np.log(((pos + 1) / (y.sum() + 2)) / ((neg + 1) / (len(y) - y.sum() + 2)))
-    ratio[(pos + neg < LEAST_DOCS) | (np.abs(ratio) < LEAST_RATIO)] = 0.0
-    used = ratio[ids] != 0
-    rows, ids = rows[used], ids[used]
-    values = ratio[ids]
-    values /= np.sqrt(np.bincount(rows, values**2, minlength=len(y)).mean())
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    ids = np.concatenate(sets).astype(np.int64)
+    values = ratio[ids].astype(float)
+    values /= max(1e-9, np.sqrt(np.bincount(rows, values**2, minlength=len(y)).mean()))
     scale = np.zeros(BUCKETS)
     scale[ids] = values
     weight, bias = np.zeros(BUCKETS), float(np.log(y.mean() / (1 - y.mean())))
@@ -94,19 +119,22 @@ def train(labels: np.ndarray, sets: list[np.ndarray]) -> Model:
 
 def fit(rows: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model:
     """Fits on (id, text, label) rows with label 0 or 1: on all, or on the `max_rows` of
-    them whose ids have the smallest hashes. Features are built in tasks."""
+    them whose ids have the smallest hashes. Features are built in tasks; the driver gets
+    one ratio per bucket and, of the sampled rows, the features that have one. Rows of a
+    single class, or none, give a constant score."""
     ship_package(rows.sparkSession)
     known = rows.filter(F.col("label").isin(0, 1) & F.col("id").isNotNull())
     order = F.xxhash64("id", F.lit("train"))
     chosen = cut_lineage(known.select("id", order.alias("o")).distinct().orderBy("o", "id").limit(max_rows))
-    used = known.join(chosen.select("id"), "id", "left_semi").select("label", "text")
-    made = used.mapInArrow(_featurize, "label int, features array<long>").toArrow()
-    if made.num_rows == 0:
-        return train(np.empty(0), [])
+    used = cut_lineage(known.join(chosen.select("id"), "id", "left_semi").select("label", "text"))
+    ratio, n_pos, n_neg = log_count_ratios(used)
+    if not n_pos or not n_neg:
+        rate = (n_pos + 1) / (n_pos + n_neg + 2)
+        return Model(np.zeros(BUCKETS, np.float32), float(np.log(rate / (1 - rate))))
+    made = used.mapInArrow(_with_ratio(ratio), "label int, features array<int>").toArrow()
     column = made.column("features").combine_chunks()
-    ends = column.offsets.to_numpy()
-    flat = column.values.to_numpy()
-    return train(made.column("label").to_numpy(), [flat[a:b] for a, b in zip(ends[:-1], ends[1:])])
+    ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+    return train(made.column("label").to_numpy(), [flat[a:b] for a, b in zip(ends[:-1], ends[1:])], ratio)
 
 
 def _apply(model: Model):
