@@ -45,14 +45,20 @@ def _levels(nodes: DataFrame) -> list[DataFrame]:
     """Level k: (tree, node, up, total) with `up` the 2**k-th ancestor, or null past the
     root, and `total` the score of the 2**k nodes from `node` upwards."""
     known = nodes.select(F.col("tree").alias("t"), F.col("node").alias("id"))
-    first = nodes.join(known, nodes.tree.eqNullSafe(F.col("t")) & (nodes.parent == F.col("id")), "left")
-    level = cut_lineage(first.select("tree", "node", F.col("id").alias("up"), F.col("score").alias("total")))
+    replies = nodes.filter("parent is not null")
+    linked = replies.join(known, replies.tree.eqNullSafe(F.col("t")) & (replies.parent == F.col("id")), "left")
+    roots = nodes.filter("parent is null").withColumn("id", F.lit(None).cast(nodes.schema["node"].dataType))
+    columns = ["tree", "node", F.col("id").alias("up"), F.col("score").alias("total")]
+    level = cut_lineage(linked.select(*columns).union(roots.select(*columns)))
     most = max(1, level.count()).bit_length()
     levels = [level]
     while len(levels) <= most and not level.filter("up is not null").isEmpty():
         above = level.select(F.col("tree").alias("t"), F.col("node").alias("id"), F.col("up").alias("next"), F.col("total").alias("more"))
-        joined = level.join(above, level.tree.eqNullSafe(F.col("t")) & (level.up == F.col("id")), "left")
-        level = cut_lineage(joined.select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total")))
+        # Nodes whose link is past the root are done; only the others are joined.
+        open_ = level.filter("up is not null")
+        joined = open_.join(above, open_.tree.eqNullSafe(F.col("t")) & (open_.up == F.col("id")))
+        moved = joined.select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"))
+        level = cut_lineage(moved.union(level.filter("up is null")))
         levels.append(level)
     return levels
 
