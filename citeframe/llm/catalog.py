@@ -116,16 +116,16 @@ def quality_weight(quality: Column) -> Column:
     return F.when(quality == 1, 2.0).when(quality == 0, 0.5).otherwise(1.0)
 
 
-def with_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, text, quality): the labelled quality of a document, if any."""
+def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, weight) by the labelled quality of documents."""
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return docs.select("doc_id", "source", "text").join(labels, "doc_id", "left")
+    return labels.select("doc_id", quality_weight(F.col("quality")).alias("weight"))
 
 
 @register("op7_source_mixing", MIX_SQL)
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_quality(spark, read(spark, sf_dir, "documents"), sf_dir)
-    return mixing.mix_sources(docs, quality=quality_weight(F.col("quality"))).drop("text_hash")
+    docs = read(spark, sf_dir, "documents")
+    return mixing.mix_sources(docs, quality_of=quality_weights(spark, sf_dir)).drop("text_hash")
 
 
 CHAT_SQL = r"""

@@ -62,6 +62,7 @@ def mix_sources(
     source_col: str = "source",
     text_col: str = "text",
     quality: Column | None = None,
+    quality_of: DataFrame | None = None,
     weights: tuple[float, ...] = WEIGHTS,
     share: float = SHARE,
     seed: str = SEED,
@@ -69,7 +70,9 @@ def mix_sources(
     """One row per input row: doc_id, source, size, source_size, target, copies, taken,
     text_hash (xxhash64 of the text, to find the row again when its id is null or repeats).
 
-    `quality` is a positive weight (default 1; null or not positive counts as 1).
+    `quality` is a positive weight (default 1; null or not positive counts as 1), or it
+    comes from the table `quality_of` (id, weight), of which the largest weight per id
+    counts; that table meets the sizes of documents, never their texts.
     `copies` is how often the mix takes the document, `taken` its words times that. Of a
     source, full epochs come first; the document at which the rest of the budget ends is
     taken when that brings the sum nearer to the target. Null text has size 0, a null
@@ -77,18 +80,22 @@ def mix_sources(
     ordered by id and size; repeated rows are rows of their own with equal keys. Only the
     named columns are read. An empty table gives no rows.
     """
-    raw = F.lit(1.0) if quality is None else quality.cast("double")
-    weight = F.when(raw > 0, raw).otherwise(F.lit(1.0))
-    identity = F.col(id_col).cast("string")
     sized = cut_lineage(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
             F.xxhash64(text_col).alias("text_hash"),
-            (-F.log(uniform(identity, seed)) / weight).alias("key"),
+            (F.lit(1.0) if quality is None else quality.cast("double")).alias("raw"),
         )
     )
+    if quality_of is not None:
+        of, weight_name = quality_of.columns
+        given = quality_of.groupBy(F.col(of).cast("long").alias("of")).agg(F.max(F.col(weight_name).cast("double")).alias("given"))
+        sized = sized.join(given, sized.doc_id == given.of, "left").withColumn("raw", F.coalesce("given", "raw")).drop("of", "given")
+    weight = F.when(F.col("raw") > 0, F.col("raw")).otherwise(F.lit(1.0))
+    sized = sized.withColumn("key", -F.log(uniform(F.col("doc_id").cast("string"), seed)) / weight).drop("raw")
+    sized = cut_lineage(sized)
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     planned = targets(sums, weights, share)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeframe.llm import decontaminate, lines, mixing, near_dedup, toxicity
-from citeframe.llm.catalog import quality_weight, toxicity_model, with_quality
+from citeframe.llm.catalog import quality_weights, toxicity_model
 from citeframe.session import cut_lineage, shared_folder
 
 ORACLE_SQL = None
@@ -50,7 +50,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with `copies`, how often, and `taken`, their words."""
-    plan = mixing.mix_sources(with_quality(spark, docs, sf_dir), quality=quality_weight(F.col("quality")))
+    plan = mixing.mix_sources(docs, quality_of=quality_weights(spark, sf_dir))
     chosen = plan.filter("copies > 0").groupBy(F.col("doc_id").alias("_id"), "text_hash")
     taken = cut_lineage(chosen.agg(F.max("copies").alias("_copies"), F.max("taken").alias("_taken")))
     same = docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(docs.text) == F.col("text_hash"))

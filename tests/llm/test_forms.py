@@ -145,7 +145,8 @@ def test_mixing_matches_brute_force(spark):
         taken[r.source] += r.taken
     for source, words in taken.items():
         assert abs(words - target[source]) <= max(n for r, n in zip(rows, sizes) if r[1] == source)
-    assert sorted(map(str, mixing.mix_sources(df, quality=F.col("q")).collect())) == sorted(map(str, out))
+    by_id = df.filter("doc_id is not null").select("doc_id", "q")
+    assert sorted(map(str, mixing.mix_sources(df, quality_of=by_id).collect())) == sorted(map(str, out))
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
