@@ -129,7 +129,7 @@ def fit(rows: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model:
     used = cut_lineage(known.join(chosen.select("id"), "id", "left_semi").select("label", "text"))
     ratio, n_pos, n_neg = log_count_ratios(used)
     if not n_pos or not n_neg:
-        rate = (n_pos + 1) / (n_pos + n_neg + 2)
+        rate = (n_pos + 0.1) / (n_pos + n_neg + 1)  # without labels, not toxic
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(rate / (1 - rate))))
     made = used.mapInArrow(_with_ratio(ratio), "label int, features array<int>").toArrow()
     column = made.column("features").combine_chunks()
