@@ -167,7 +167,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op9_secret_scan")
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan_secrets(read(spark, sf_dir, "documents"))
+    found = secrets.scan_secrets(read(spark, sf_dir, "documents"), hex_runs=True)
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == secrets.KINDS.index(kind))).cast("long")
     return found.select(
         "doc_id",

@@ -28,7 +28,9 @@ KINDS = ("assign", "access", "hex", "entropy")
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 # Class, alphabet, window and least entropy in bits a character.
 HEX_CLASS = ("0123456789abcdef", 20, 2.9)
+ANY_HEX_CLASS = (HEX_CLASS[0] + "ABCDEF", *HEX_CLASS[1:])
 TOKEN_CLASS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20, 3.8)
+HEX_RUN = r"[0-9A-Fa-f]{20,}"  # maximal runs, of either case, inside a candidate
 # Suppressed candidates: placeholders, UUIDs, and strings of letters or of digits alone.
 ALLOWED = (
     r"(?i)example|placeholder|changeme|dummy|x{8}",
@@ -107,21 +109,60 @@ def entropy_regions(body: Column, alphabet: str, width: int, least: float) -> Co
     return F.aggregate(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), start, step, lambda acc: acc["regions"])
 
 
-def _entropy_spans(text: Column) -> Column:
+def _allowed(body: Column, patterns: tuple[str, ...] = ALLOWED) -> Column:
+    found = F.lit(False)
+    for pattern in patterns:
+        found = found | body.rlike(pattern)
+    return found
+
+
+def _moved(regions: Column, by: Column) -> Column:
+    return F.transform(regions, lambda r: F.struct((by + r["start"]).cast("int").alias("start"), (by + r["end"]).cast("int").alias("end")))
+
+
+def _merged(regions: Column) -> Column:
+    """Regions that touch or overlap become one."""
+
+    def fold(acc: Column, r: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
+        joined = F.coalesce(last["end"] >= r["start"], F.lit(False))
+        return F.when(joined, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, F.array(r)))
+
+    return F.aggregate(F.sort_array(regions), F.array().cast("array<struct<start:int,end:int>>"), fold)
+
+
+def _candidate_regions(body: Column) -> Column:
+    """One class and one allow-list decision for the whole candidate."""
+    regions = F.when(body.rlike("^[0-9A-Fa-f]+$"), entropy_regions(body, *ANY_HEX_CLASS)).otherwise(entropy_regions(body, *TOKEN_CLASS))
+    return F.when(~_allowed(body), regions).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+
+
+def _run_regions(body: Column) -> Column:
+    """Regions of each hex run by the hex class, and of the candidate by the token class.
+
+    A run is only suppressed by what it holds itself. A token region is suppressed when it
+    overlaps a placeholder word, or when the whole candidate is a UUID or of letters or of
+    digits alone; a region that merely lacks digits is not."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    runs = F.filter(spans(body, HEX_RUN, "entropy"), lambda run: ~_allowed(run["body"]))
+    inside = F.flatten(F.transform(runs, lambda run: _moved(entropy_regions(run["body"], *ANY_HEX_CLASS), run["start"])))
+    apart = lambda words: lambda r: ~F.exists(words, lambda w: (w["start"] < r["end"]) & (r["start"] < w["end"]))
+    tokens = let(spans(body, ALLOWED[0], "entropy"), lambda words: F.filter(entropy_regions(body, *TOKEN_CLASS), apart(words)))
+    # Windows of a candidate that is one run reach the token class only where they reach the hex class.
+    rest = F.when(body.rlike("^[0-9A-Fa-f]+$") | _allowed(body, ALLOWED[1:]), none).otherwise(tokens)
+    return _merged(F.concat(inside, rest))
+
+
+def _entropy_spans(text: Column, hex_runs: bool) -> Column:
+    regions = _run_regions if hex_runs else _candidate_regions
+    kind = F.lit(KINDS.index("entropy"))
+
     def of(candidate: Column) -> Column:
-        allowed = F.lit(False)
-        for pattern in ALLOWED:
-            allowed = allowed | candidate["body"].rlike(pattern)
-        hexadecimal = candidate["body"].rlike("^[0-9a-f]+$")
-        regions = F.when(hexadecimal, entropy_regions(candidate["body"], *HEX_CLASS)).otherwise(
-            entropy_regions(candidate["body"], *TOKEN_CLASS)
-        )
-        kind = F.lit(KINDS.index("entropy"))
-        found = F.transform(
-            regions,
+        return F.transform(
+            regions(candidate["body"]),
             lambda r: F.struct((candidate["start"] + r["start"]).alias("start"), kind.alias("kind"), (candidate["start"] + r["end"]).alias("end")),
         )
-        return F.when(~allowed, found).otherwise(F.array().cast("array<struct<start:long,kind:int,end:long>>"))
 
     return F.flatten(F.transform(spans(text, CANDIDATE, "entropy"), of))
 
@@ -131,12 +172,16 @@ def told(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hex_runs: bool = False) -> DataFrame:
     """One row per input row: doc_id, base and spans, as arrays of (start, kind, end) in
     order of start, then kind; kinds index `KINDS`. `base` has the fixed patterns, `spans`
     also what the entropy windows add; a window region is not suppressed when it touches a
     base span, so one secret can be reported by both.
 
+    With `hex_runs`, as op9 scans, hex runs of either case have their own class wherever
+    they stand in a candidate, and the allow-list looks at what was found. Without it, a
+    candidate has one class, and one allowed part suppresses all of it.
+
     Null and empty texts have no spans. Ids may be null or repeat. Only the two named
     columns are read. An empty table gives no rows.
     """
@@ -146,5 +191,5 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     assign = F.filter(spans(text, ASSIGN, "assign"), lambda s: F.length(value(s)) >= ASSIGN_LEAST)
     base = F.concat(plain(assign), plain(spans(text, ACCESS, "access")), plain(spans(text, HEX, "hex")))
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = rows.select("doc_id", base.alias("base"), _entropy_spans(text).alias("extra"))
+    found = rows.select("doc_id", base.alias("base"), _entropy_spans(text, hex_runs).alias("extra"))
     return found.select("doc_id", F.sort_array("base").alias("base"), F.sort_array(F.concat("base", "extra")).alias("spans"))

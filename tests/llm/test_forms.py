@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeframe.llm import chat, mixing, secrets, tokens
+from citeframe.llm.catalog import LLM_QUERIES
 
 ODD = ["<|im_end|>", "<|im_start|>user\nx", "<\\|im_end|>", "<\\\\|", "a\\<|", "<|", "", "é\n\n", "<", "|", "\\n", "x" * 60_000]
 
@@ -205,3 +206,61 @@ def test_secret_spans_match_brute_force(spark):
         assert [tuple(s) for s in r.spans] == sorted(base_spans(text) + entropy_spans(text)), text[:200]
     assert secrets.scan_secrets(df.limit(0)).count() == 0
     assert secrets.scan_secrets(spark.createDataFrame([(None, "x"), (None, "x")], "doc_id long, text string")).count() == 2
+
+
+def run_spans(text):
+    """Entropy regions with the hex class for each hex run, the token class elsewhere."""
+
+    def regions(body, least, width=20):
+        for at in range(len(body) - width + 1):
+            counts = Counter(body[at : at + width])
+            if -sum(c / width * math.log2(c / width) for c in counts.values()) >= least - 1e-9:
+                yield at, at + width
+
+    def joined(parts):
+        out = []
+        for a, b in sorted(map(tuple, parts)):
+            if out and out[-1][1] >= a:
+                out[-1][1] = max(out[-1][1], b)
+            else:
+                out.append([a, b])
+        return out
+
+    out = []
+    for m in re.finditer(secrets.CANDIDATE, text):
+        found = []
+        if not any(re.search(p, m[0]) for p in secrets.ALLOWED[1:]):
+            words = [w.span() for w in re.finditer(secrets.ALLOWED[0], m[0])]
+            found += [r for r in joined(regions(m[0], 3.8)) if not any(s < r[1] and r[0] < e for s, e in words)]
+        for run in re.finditer("[0-9A-Fa-f]{20,}", m[0]):
+            if re.search("[0-9]", run[0]) and re.search("[A-Fa-f]", run[0]):
+                found += [(run.start() + a, run.start() + b) for a, b in regions(run[0], 2.9)]
+        out += [(m.start() + a, 3, m.start() + b) for a, b in joined(found)]
+    return out
+
+
+def test_hex_runs_have_their_own_class(spark):
+    key = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    token = "q7Rz0KfLx2WmVb9TnYs4"
+    mixed = key[:20] + key[20:].lower()
+    found = {key: [(0, 3, 40)], mixed: [(0, 3, 40)], "build_" + key: [(0, 3, 46)], "x/" + mixed: [(2, 3, 42)], "example/" + key + "/x": [(8, 3, 48)]}
+    for text, want in found.items():
+        assert run_spans(text) == want, text
+    rows = [*found, "example/" + token, token + "=" * 30 + "example", "id-12345678901234567890", "FACADE" * 5, "123e4567-e89b-12d3-a456-426614174000"]
+    draw = random.Random(13)
+    parts = ["word", " ", "-", "_", "=", "/", "é", "example", "dummy", "x" * 11, token]
+    for _ in range(250):
+        more = ["".join(draw.choices(c, k=draw.randint(8, 45))) for c in ("0123456789abcdef", "0123456789ABCDEF", "0123456789abcdefABCDEF", secrets.TOKEN_CLASS[0], "0123456789")]
+        rows.append("".join(draw.choices(parts + 3 * more, k=draw.randint(1, 8))))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for r in secrets.scan_secrets(df, hex_runs=True).collect():
+        text = rows[r.doc_id]
+        assert [tuple(s) for s in r.spans] == sorted(base_spans(text) + run_spans(text)), text
+
+
+def test_secret_query_reports_bare_upper_case_hex(spark, tmp_path):
+    key = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    rows = [(1, f"use {key} here"), (2, f"see x/{key}"), (3, "nothing")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.spans for r in LLM_QUERIES["op9_secret_scan"](spark, str(tmp_path)).collect()}
+    assert got == {1: "entropy:4:44", 2: "entropy:6:46", 3: ""}
