@@ -9,22 +9,23 @@ the sample count, so that an item at the threshold is missed with a probability
 `MISS`. Candidates are confirmed on all shingles of the item, as words, not as hashes.
 
 Items are the query set. They are cut into blocks of a bounded number of words; each
-block goes to the tasks with the scan, and the documents are never shuffled.
+block goes to the tasks with a scan of its own, whose result is written before the next
+block is fetched, so the driver holds one block; the documents are never shuffled.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, ship_package
+from ..session import cut_lineage, shared_folder, ship_package
 from .near_dedup import argmin_shingles
 from .words import hash_words, shingle_stream, small_batches, split_words
 
@@ -125,7 +126,7 @@ def _search(block, size: int, containment: float, samples: int):
 
 
 def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about `block_words` words; one block at a time is held."""
+    """The items in blocks of about `block_words` words; none is kept here."""
     words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = max(1, math.ceil(words / block_words))
     place = F.pmod(F.xxhash64("text", "id"), F.lit(blocks))
@@ -159,7 +160,11 @@ def find_leaks(
         items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).filter(F.trim("text") != "")
     )
     schema = "doc_id long, item_id long, item_shingles long, shared long"
-    found = [
-        texts.mapInArrow(_search(block, shingle_words, containment, samples), schema) for block in item_blocks(queries, block_words)
-    ]
-    return reduce(DataFrame.union, found).withColumn("containment", F.col("shared") / F.col("item_shingles"))
+    root = f"{shared_folder(docs.sparkSession)}/leaks-{uuid.uuid4().hex}"
+    number = 0
+    for block in item_blocks(queries, block_words):
+        texts.mapInArrow(_search(block, shingle_words, containment, samples), schema).write.parquet(f"{root}/block={number}")
+        number += 1
+        del block  # not held while the next one is fetched
+    found = docs.sparkSession.read.schema(schema).parquet(root).select("doc_id", "item_id", "item_shingles", "shared")
+    return found.withColumn("containment", F.col("shared") / F.col("item_shingles"))

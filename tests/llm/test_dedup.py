@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import brute
 import pytest
@@ -148,3 +149,20 @@ def test_leaks_match_brute_force(spark):
         assert Counter((r.doc_id, r.item_id, r.item_shingles, r.shared) for r in out.collect()) == want
     assert decontaminate.find_leaks(left, right.limit(0)).count() == 0
     assert decontaminate.find_leaks(left.limit(0), right).count() == 0
+
+
+def test_leaks_of_a_block_are_written_before_the_next_is_fetched(spark, monkeypatch):
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before, written = set(folder.glob("leaks-*/block=*/_SUCCESS")), []
+
+    def blocks(items, block_words):
+        for row in items.orderBy("id").collect():
+            written.append(len(set(folder.glob("leaks-*/block=*/_SUCCESS")) - before))
+            yield [(row["id"], row["text"])]
+
+    monkeypatch.setattr(decontaminate, "item_blocks", blocks)
+    docs = spark.createDataFrame([(k, f"a b c d e f g h i{k}") for k in range(3)], "doc_id long, text string")
+    items = spark.createDataFrame([(k, f"d e f g h i{k}") for k in range(3)], "item_id long, text string")
+    out = decontaminate.find_leaks(docs, items, containment=1.0)
+    assert written == [0, 1, 2] and "MapInArrow" not in out._jdf.queryExecution().toString()
+    assert sorted((r.doc_id, r.item_id) for r in out.collect()) == [(0, 0), (1, 1), (2, 2)]
