@@ -83,7 +83,7 @@ HAVING count(*) >= 0.8 * item_shingles"""
 
 @register("op5_decontamination", LEAKS_SQL)
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), short_items=False)
 
 
 MIX_SQL = r"""

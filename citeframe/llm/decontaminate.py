@@ -56,12 +56,12 @@ def _words_of(text: str, width: int) -> tuple[list[bytes], set[tuple[bytes, ...]
 class ItemBlock:
     """Sketches of one block of items, as a task uses them."""
 
-    def __init__(self, items: list[tuple[int, str]], size: int, containment: float, samples: int = SAMPLES):
+    def __init__(self, items: list[tuple[int, str]], size: int, containment: float, samples: int = SAMPLES, short_items: bool = True):
         self.size, self.containment, self.items = size, containment, []
         probes: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in items:
             hashes = hash_words(split_words(text))
-            if not len(hashes):
+            if len(hashes) < (1 if short_items else size):
                 continue
             width = min(size, len(hashes))
             shingles = np.unique(shingle_stream(hashes, size))
@@ -111,11 +111,11 @@ class ItemBlock:
                 yield item_id, len(wanted), shared
 
 
-def _search(block, size: int, containment: float, samples: int):
+def _search(block, size: int, containment: float, samples: int, short_items: bool):
     items = block
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = ItemBlock(items, size, containment, samples)
+        search = ItemBlock(items, size, containment, samples, short_items)
         for batch in small_batches(batches, "text"):
             found = [(doc.as_py(), *m) for doc, text in zip(batch.column("id"), batch.column("text")) for m in search.matches(text.as_py())]
             if found:
@@ -145,12 +145,15 @@ def find_leaks(
     containment: float = CONTAINMENT,
     samples: int = SAMPLES,
     block_words: int = BLOCK_WORDS,
+    short_items: bool = True,
 ) -> DataFrame:
     """(doc_id, item_id, item_shingles, shared, containment) for each document that holds
     at least `containment` of an item's distinct shingles.
 
-    An item shorter than a shingle counts as one shingle of its own length. Items and
-    documents without words match nothing. Null ids are returned as null; repeated rows
+    An item shorter than a shingle counts as one shingle of its own length, or matches
+    nothing without `short_items`: op5, its SQL and the pipeline leave such items out, as
+    a word or two in a document are no sign of a leak. Items and documents without words
+    match nothing. Null ids are returned as null; repeated rows
     on either side give one row each. Only the named columns are read. Without items or
     documents there are no rows.
     """
@@ -163,8 +166,9 @@ def find_leaks(
     root = f"{shared_folder(docs.sparkSession)}/leaks-{uuid.uuid4().hex}"
     number = 0
     for block in item_blocks(queries, block_words):
-        texts.mapInArrow(_search(block, shingle_words, containment, samples), schema).write.parquet(f"{root}/block={number}")
+        search = _search(block, shingle_words, containment, samples, short_items)
+        texts.mapInArrow(search, schema).write.parquet(f"{root}/block={number}")
         number += 1
-        del block  # not held while the next one is fetched
+        del block, search  # not held while the next one is fetched
     found = docs.sparkSession.read.schema(schema).parquet(root).select("doc_id", "item_id", "item_shingles", "shared")
     return found.withColumn("containment", F.col("shared") / F.col("item_shingles"))

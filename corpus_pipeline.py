@@ -42,8 +42,8 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents that hold no benchmark item; items shorter than a shingle drop nothing."""
+    leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short_items=False)
     dropped = cut_lineage(leaks.select("doc_id").distinct())
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
