@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeframe.llm import decontaminate, lines, mixing, near_dedup, toxicity
@@ -51,10 +51,29 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with `copies`, how often, and `taken`, their words."""
     plan = mixing.mix_sources(docs, quality_of=quality_weights(spark, sf_dir))
-    chosen = plan.filter("copies > 0").groupBy(F.col("doc_id").alias("_id"), "text_hash")
-    taken = cut_lineage(chosen.agg(F.max("copies").alias("_copies"), F.max("taken").alias("_taken")))
-    same = docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(docs.text) == F.col("text_hash"))
-    return docs.join(taken, same).select(*docs.columns, F.col("_copies").alias("copies"), F.col("_taken").alias("taken"))
+    # Rows that share source, id and text differ in copies only where the budget ends.
+    groups = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "text_hash").agg(
+        F.max("copies").alias("_high"),
+        F.min("copies").alias("_low"),
+        F.first("size").alias("_size"),
+        F.sum("copies").alias("_copies"),
+        F.count(F.lit(1)).alias("_rows"),
+    )
+    taken = cut_lineage(groups.filter("_high > 0"))
+    same = (
+        docs.doc_id.eqNullSafe(F.col("_id"))
+        & docs.source.eqNullSafe(F.col("_source"))
+        & (F.xxhash64(docs.text) == F.col("text_hash"))
+    )
+    split = taken.filter("_low < _high")
+    rows = docs.join(taken.filter("_low = _high"), same).select(*docs.columns, "_size", F.col("_high").alias("copies"))
+    if not split.isEmpty():
+        place = F.row_number().over(Window.partitionBy("_source", "_id", "text_hash").orderBy(F.xxhash64(*docs.columns)))
+        above = F.col("_copies") - F.col("_low") * F.col("_rows")  # counts differ by one at most
+        copies = F.when(place <= above, F.col("_high")).otherwise(F.col("_low"))
+        rest = docs.join(split, same).select("*", copies.alias("copies")).filter("copies > 0")
+        rows = rows.unionByName(rest.select(*docs.columns, "_size", "copies"))
+    return rows.select(*docs.columns, "copies", (F.col("_size") * F.col("copies")).alias("taken"))
 
 
 STAGES = [

@@ -1,6 +1,7 @@
 """Registered corpus queries against their SQL, and the pipeline against brute force."""
 
 import sys
+from collections import Counter
 from pathlib import Path
 
 import brute
@@ -12,8 +13,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2] / "tools"))
 
 from compare import TABLES, rows_of  # noqa: E402
 
-from citeframe.llm import toxicity  # noqa: E402
-from citeframe.llm.catalog import LLM_ORACLES, LLM_QUERIES, toxicity_model  # noqa: E402
+from citeframe.llm import mixing, toxicity  # noqa: E402
+from citeframe.llm.catalog import LLM_ORACLES, LLM_QUERIES, quality_weights, toxicity_model  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -95,3 +96,18 @@ def test_items_shorter_than_a_shingle_are_no_leaks(spark, tmp_path):
     assert rows_of(df.columns, [tuple(r) for r in got]) == want and [(r.doc_id, r.item_id) for r in got] == [(2, 4)]
     kept = corpus_pipeline.drop_contaminated(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_mixing_stage_takes_what_the_plan_takes(spark):
+    """Rows that repeat id and text, across sources too, keep the copies planned for them."""
+    rows = [(None, "x y z", "en", "a", 5)] * 40 + [(None, None, "en", "b", None)] * 3 + [(None, None, "de", None, None)] * 2
+    rows += [(7, "one two", "en", "b", 7)] * 30 + [(7, "one two", "en", "c", 7)] * 60  # the budget of c ends after 45
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{SF_DIR}/documents.parquet").schema)
+    plan = mixing.mix_sources(docs, quality_of=quality_weights(spark, SF_DIR))
+    planned = plan.collect()
+    want = Counter((r.doc_id, r.source, r.copies, r.taken) for r in planned if r.copies)
+    out = corpus_pipeline.mix(spark, docs, SF_DIR)
+    assert out.columns == [*docs.columns, "copies", "taken"]
+    assert Counter((r.doc_id, r.source, r.copies, r.taken) for r in out.collect()) == want
+    groups = {(r.doc_id, r.source, r.text_hash) for r in planned}
+    assert len({(r.doc_id, r.source, r.text_hash, r.copies) for r in planned}) > len(groups)
