@@ -1,13 +1,14 @@
-"""The ten corpus queries over the test tables, with SQL where it can express them."""
+"""The corpus queries over the test tables, with SQL where it can express them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, lines, lm, mixing, near_dedup, secrets, tokens, toxicity
+from . import chat, decontaminate, exact_dedup, lines, lm, merkle, mixing, near_dedup, secrets, token_files, tokens, toxicity, whitening
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -202,3 +203,91 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return lm.score_texts(docs, toxicity.remainder(F.col("doc_id"), 10) == 0)
+
+
+@register("op11_token_files")
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    manifest = token_files.write_token_files(read(spark, sf_dir, "documents"), vocabulary, end_id=1)
+    documents = token_files.read_token_files(manifest)
+    return documents.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@register("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(read(spark, sf_dir, "embeddings"), components=4)
+    parts = F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "part")
+    return rows.select(F.col("id").alias("vec_id"), "n", "deviation", "identity_error", parts).select(
+        "vec_id",
+        (F.col("place") + 1).cast("int").alias("component"),
+        "n",
+        "deviation",
+        F.col("part.whitened").alias("whitened"),
+        F.col("part.explained").alias("explained"),
+        "identity_error",
+    )
+
+
+MANIFEST_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+           lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+framed AS (
+  SELECT doc_id, source, text, list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR],
+           lambda v: CASE WHEN v IS NULL THEN '-' ELSE octet_length(v::BLOB) || ':' || v END) AS f,
+         xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda k: ascii(substr(doc_id::VARCHAR, k, 1))::BIGINT)),
+           lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+  FROM documents, crc),
+told AS (
+  SELECT *, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed FROM framed),
+leaves AS (
+  SELECT doc_id, source,
+         sha256(array_to_string(f, '') || CASE WHEN text IS NULL THEN '-' ELSE octet_length(encode(text)) || ':' || text END) AS leaf,
+         sha256(array_to_string(f, '') || CASE WHEN changed IS NULL THEN '-' ELSE octet_length(encode(changed)) || ':' || changed END) AS replaced
+  FROM told),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS LAST, leaf, replaced) - 1 AS spot, count(*) OVER (PARTITION BY source) AS size FROM leaves),
+low AS (
+  SELECT source, 0 AS level, spot, size, leaf AS digest FROM placed
+  UNION ALL
+  SELECT source, level + 1, spot // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY spot)) FROM low WHERE size > 1 GROUP BY source, level, spot // 3, size),
+subroots AS (SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS spot, count(*) OVER () AS size FROM low WHERE size = 1),
+high AS (
+  SELECT 0 AS level, spot, size, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, spot // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY spot)) FROM high WHERE size > 1 GROUP BY level, spot // 3, size),
+up AS (
+  SELECT doc_id, p.source, p.spot AS row, leaf, p.size, 0 AS level, p.spot, replaced AS digest, '' AS proof FROM placed p
+  UNION ALL
+  SELECT u.doc_id, u.source, u.row, u.leaf, (u.size + 2) // 3, u.level + 1, u.spot // 3,
+         sha256(string_agg(CASE WHEN n.spot = u.spot THEN u.digest ELSE n.digest END, '' ORDER BY n.spot)),
+         u.proof || coalesce(string_agg(n.digest, '' ORDER BY n.spot) FILTER (WHERE n.spot <> u.spot), '')
+  FROM up u JOIN low n ON n.source IS NOT DISTINCT FROM u.source AND n.level = u.level AND n.spot // 3 = u.spot // 3
+  WHERE u.size > 1 GROUP BY u.doc_id, u.source, u.row, u.leaf, u.size, u.level, u.spot, u.digest, u.proof),
+top AS (
+  SELECT u.doc_id, u.source, u.row, u.leaf, s.subroot, s.size, 0 AS level, s.spot, u.digest, u.proof
+  FROM up u JOIN subroots s ON s.source IS NOT DISTINCT FROM u.source WHERE u.size = 1
+  UNION ALL
+  SELECT t.doc_id, t.source, t.row, t.leaf, t.subroot, (t.size + 2) // 3, t.level + 1, t.spot // 3,
+         sha256(string_agg(CASE WHEN n.spot = t.spot THEN t.digest ELSE n.digest END, '' ORDER BY n.spot)),
+         t.proof || coalesce(string_agg(n.digest, '' ORDER BY n.spot) FILTER (WHERE n.spot <> t.spot), '')
+  FROM top t JOIN high n ON n.level = t.level AND n.spot // 3 = t.spot // 3
+  WHERE t.size > 1 GROUP BY t.doc_id, t.source, t.row, t.leaf, t.subroot, t.size, t.level, t.spot, t.digest, t.proof)
+SELECT doc_id, leaf, subroot, h.digest AS root, sha256(proof) AS proof_sha256, t.digest AS folded_root, t.digest = h.digest AS verified
+FROM top t, (SELECT digest FROM high WHERE size = 1) h WHERE t.size = 1"""
+
+
+@register("op13_merkle_manifest", MANIFEST_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    tampered = F.coalesce(toxicity.remainder(F.col("doc_id"), 2) == 0, F.lit(False)) & F.contains("text", F.lit("\n"))
+    digest = lambda text: merkle.leaf_digest(*(F.col(c) for c in ("doc_id", "source", "lang", "n_chars")), text)
+    leaves = docs.select(
+        F.col("doc_id").alias("id"),
+        "source",
+        digest(F.col("text")).alias("digest"),
+        F.when(tampered, digest(F.replace("text", F.lit("\n"), F.lit("")))).alias("changed"),
+    )
+    leaves = leaves.select("id", "source", "digest", F.coalesce("changed", "digest").alias("replaced"))
+    told = merkle.dataset_manifest(leaves)
+    return told.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
