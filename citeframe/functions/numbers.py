@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import spec
-from .plans import explode_computed
+from .plans import explode_computed, running_sum
 from .text import ALNUM, LETTER, WORD_CHAR, ascii_digits
 
 # A figure: digits with inner commas and an optional fraction, not glued to a
@@ -94,24 +94,19 @@ def with_mentions(df: DataFrame, text: str, out: str = "mentions") -> DataFrame:
             counted.alias("counted"),
         )
 
-    # Offsets are a running sum of piece and figure widths.
-    empty = F.from_json(F.lit("[]"), "array<struct<start:int,stop:int,value:double,kind:string,counted:boolean>>")
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-
-    def place(acc: Column, m: Column) -> Column:
-        start = acc["at"] + m["gap"]
-        stop = start + m["width"]
-        item = F.struct(
-            start.alias("start"), stop.alias("stop"), m["value"].alias("value"), m["kind"].alias("kind"),
+    # Offsets are running sums of piece and figure widths.
+    def placed(m: Column, stop: Column) -> Column:
+        return F.struct(
+            (stop - m["width"]).alias("start"), stop.alias("stop"), m["value"].alias("value"), m["kind"].alias("kind"),
             m["counted"].alias("counted"),
         )
-        return F.struct(stop.alias("at"), F.concat(acc["found"], F.array(item)).alias("found"))
 
     return (
         df.withColumn("_around", F.transform("_figures", around))
         .withColumn("_read", F.transform("_around", read))
-        .withColumn(out, F.aggregate("_read", zero, place, lambda acc: acc["found"]))
-        .drop("_pieces", "_figures", "_around", "_read")
+        .withColumn("_stops", running_sum(F.transform("_read", lambda m: m["gap"] + m["width"])))
+        .withColumn(out, F.zip_with("_read", "_stops", placed))
+        .drop("_pieces", "_figures", "_around", "_read", "_stops")
     )
 
 

@@ -17,6 +17,21 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def running_sum(values: Column) -> Column:
+    """The sum of each array element and all before it, in n log n additions: step k
+    adds the value 2 ** k places to the left. A fold that appends to its result would
+    copy it at every element."""
+
+    def add(by: int) -> Callable[[Column], Column]:
+        moved = lambda a: F.transform(a, lambda x, i: x + F.when(i >= by, F.get(a, i - F.lit(by))).otherwise(F.lit(0)))
+        return lambda a: F.when(F.size(a) > by, moved(a)).otherwise(a)
+
+    # An array holds fewer than 2 ** 31 elements; rounds it does not need cost one test.
+    for k in range(31):
+        values = let(values, add(1 << k))
+    return values
+
+
 def explode_computed(df: DataFrame, items: str, out: str, pos: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """One row per element of a computed array column. A plain explode would make
     the optimizer test the array for emptiness first, computing it a second time

@@ -22,24 +22,29 @@ def _mentions(spark, sf_dir):
 
 SQL_MENTIONS = f"""
 {pkg.SQL_LINES},
+parts AS (
+  SELECT o_orderkey AS deal_id, 0 AS page_ord, 0 AS mention_ord, 'Order Number: ' AS before, CAST(o_orderkey AS VARCHAR) AS figure,
+         CAST(o_orderkey AS DOUBLE) AS value, 'plain' AS kind FROM orders
+  UNION ALL SELECT o_orderkey, 0, 1, chr(10) || 'Asking Price: $', format('{{:,.2f}}', o_totalprice), round(o_totalprice, 2), 'currency' FROM orders
+  UNION ALL SELECT o_orderkey, 0, 2, chr(10) || 'Status: ' || o_orderstatus || chr(10) || 'Priority: ', substr(o_orderpriority, 1, 1),
+                   CAST(substr(o_orderpriority, 1, 1) AS DOUBLE), 'plain' FROM orders
+  UNION ALL SELECT deal_id, rk, 0, 'Line ', CAST(line_no AS VARCHAR), CAST(line_no AS DOUBLE), 'plain' FROM lines
+  UNION ALL SELECT deal_id, rk, 1, chr(10) || 'Quantity: ', format('{{:,.2f}}', quantity), quantity, 'plain' FROM lines
+  UNION ALL SELECT deal_id, rk, 2, chr(10) || 'Extended Price: $', format('{{:,.2f}}', price), price, 'currency' FROM lines
+  UNION ALL SELECT deal_id, rk, 3, chr(10) || 'Discount: ', format('{{:,.2f}}', discount), discount, 'percent' FROM lines
+  UNION ALL SELECT deal_id, rk, 4, '%' || chr(10) || 'Tax: ', format('{{:,.2f}}', tax), tax, 'percent' FROM lines),
 mentions AS (
-  SELECT o_orderkey AS deal_id, 0 AS page_ord, 0 AS mention_ord, CAST(o_orderkey AS DOUBLE) AS value, 'plain' AS kind FROM orders
-  UNION ALL SELECT o_orderkey, 0, 1, round(o_totalprice, 2), 'currency' FROM orders
-  UNION ALL SELECT o_orderkey, 0, 2, CAST(substr(o_orderpriority, 1, 1) AS DOUBLE), 'plain' FROM orders
-  UNION ALL SELECT deal_id, rk, 0, CAST(line_no AS DOUBLE), 'plain' FROM lines
-  UNION ALL SELECT deal_id, rk, 1, quantity, 'plain' FROM lines
-  UNION ALL SELECT deal_id, rk, 2, price, 'currency' FROM lines
-  UNION ALL SELECT deal_id, rk, 3, discount, 'percent' FROM lines
-  UNION ALL SELECT deal_id, rk, 4, tax, 'percent' FROM lines)
+  SELECT deal_id, page_ord, mention_ord, value, kind, stop - length(figure) AS start, stop
+  FROM (SELECT *, CAST(sum(length(before) + length(figure)) OVER (PARTITION BY deal_id, page_ord ORDER BY mention_ord) AS INTEGER) AS stop FROM parts))
 """
 
 
 @query(
     "number_mentions",
-    f"WITH {SQL_MENTIONS} SELECT deal_id, page_ord, mention_ord, value, kind FROM mentions",
+    f"WITH {SQL_MENTIONS} SELECT deal_id, page_ord, mention_ord, CAST(start AS INTEGER) AS start, stop, value, kind FROM mentions",
 )
 def number_mentions(spark, sf_dir):
-    return _mentions(spark, sf_dir).select("deal_id", "page_ord", "mention_ord", "value", "kind")
+    return _mentions(spark, sf_dir).select("deal_id", "page_ord", "mention_ord", "start", "stop", "value", "kind")
 
 
 @query(
