@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import spec
-from .plans import explode_computed, running_sum
+from .plans import explode_computed, let, running_sum
 from .text import ALNUM, LETTER, WORD_CHAR, ascii_digits
 
 # A figure: digits with inner commas and an optional fraction, not glued to a
@@ -56,42 +56,69 @@ def with_mentions(df: DataFrame, text: str, out: str = "mentions") -> DataFrame:
     )
     pieces = F.col("_pieces")
 
+    # One struct after the other: inside a lambda an expression that is used twice is
+    # computed twice.
     def around(figure: Column, i: Column) -> Column:
         left = F.get(pieces, i)
-        context = F.concat(F.when(i == 0, F.lit("\n")).otherwise(F.lit("0")), left)
-        # Enough for a mark and the longest unit word.
-        right = F.left(F.get(pieces, i + F.lit(1)), F.lit(32))
         return F.struct(
             F.length(left).alias("gap"),
             F.length(figure).alias("width"),
             F.replace(figure, F.lit(","), F.lit("")).try_cast("double").alias("digits"),
-            F.regexp_extract(F.right(context, F.lit(9)), _BEFORE, 0).alias("before"),
-            F.regexp_extract(right, _AFTER, 0).alias("after"),
-            right.alias("right"),
+            F.concat(F.when(i == 0, F.lit("\n")).otherwise(F.lit("0")), F.right(left, F.lit(9))).alias("left"),
+            # Enough for a mark and the longest unit word.
+            F.left(F.get(pieces, i + F.lit(1)), F.lit(32)).alias("right"),
         )
 
-    def read(m: Column) -> Column:
-        currency = m["before"].contains("$") | m["before"].contains("usd")
-        mark = F.ltrim(m["after"])
-        percent = mark.isin("%", "percent")
-        scaled = mark.isin(list(SCALES)) & ((F.length(mark) > 1) | ~m["after"].startswith(" ") | currency)
-        scale = F.when(scaled, F.try_element_at(spec.literal_map(SCALES), mark))
-        rest = F.substr(m["right"], F.when(percent | scaled, F.length(m["after"])).otherwise(F.lit(0)) + F.lit(1))
-        # For a bare figure the next word is read after any mark, taken or not.
-        past_mark = F.substr(m["right"], F.length(m["after"]) + F.lit(1))
-        negative = m["before"].contains("-") | (m["before"].startswith("(") & rest.startswith(")"))
-        word = F.regexp_extract(rest, _NEXT_WORD, 1)
-        counted = F.when(F.length(rest) == F.length(past_mark), word != "").otherwise(past_mark.rlike(_NEXT_WORD))
-        kind = F.when(percent, F.lit("percent")).when(currency, F.lit("currency"))
-        counts = spec.literal_map(UNIT_WORDS)
-        kind = kind.otherwise(F.coalesce(F.try_element_at(counts, word), F.lit("plain")))
-        value = m["digits"] * F.coalesce(scale, F.lit(1.0))
+    def marks(m: Column) -> Column:
+        left = m["left"]
+        marked = left.contains("$") | left.contains("usd") | left.contains("(") | left.contains("-")
         return F.struct(
-            m["gap"].alias("gap"),
-            m["width"].alias("width"),
-            F.when(negative, -value).otherwise(value).alias("value"),
-            kind.alias("kind"),
-            counted.alias("counted"),
+            m["gap"].alias("gap"), m["width"].alias("width"), m["digits"].alias("digits"), m["right"].alias("right"),
+            F.when(marked, F.regexp_extract(F.right(left, F.lit(9)), _BEFORE, 0)).otherwise(F.lit("")).alias("before"),
+            F.regexp_extract(m["right"], _AFTER, 0).alias("after"),
+        )
+
+    def scales(m: Column) -> Column:
+        return let(
+            F.struct(
+                F.ltrim(m["after"]).alias("mark"),
+                (m["before"].contains("$") | m["before"].contains("usd")).alias("currency"),
+            ),
+            lambda x: F.struct(
+                m["gap"].alias("gap"), m["width"].alias("width"), m["digits"].alias("digits"), m["right"].alias("right"),
+                m["before"].alias("before"), F.length(m["after"]).alias("after"), x["currency"].alias("currency"),
+                x["mark"].isin("%", "percent").alias("percent"),
+                F.when(
+                    (F.length(x["mark"]) > 1) | ~m["after"].startswith(" ") | x["currency"],
+                    F.try_element_at(spec.literal_map(SCALES), x["mark"]),
+                ).alias("scale"),
+            ),
+        )
+
+    def rests(m: Column) -> Column:
+        taken = F.when(m["percent"] | m["scale"].isNotNull(), m["after"]).otherwise(F.lit(0))
+        return F.struct(
+            m["gap"].alias("gap"), m["width"].alias("width"), m["before"].alias("before"), m["currency"].alias("currency"),
+            m["percent"].alias("percent"), (m["digits"] * F.coalesce(m["scale"], F.lit(1.0))).alias("value"),
+            F.substr(m["right"], taken + F.lit(1)).alias("rest"),
+            # For a bare figure the next word is read after any mark, taken or not.
+            F.when(taken < m["after"], F.substr(m["right"], m["after"] + F.lit(1))).alias("past_mark"),
+        )
+
+    def read(m: Column) -> Column:
+        negative = m["before"].contains("-") | (m["before"].startswith("(") & m["rest"].startswith(")"))
+        return let(
+            F.regexp_extract(m["rest"], _NEXT_WORD, 1),
+            lambda word: F.struct(
+                m["gap"].alias("gap"),
+                m["width"].alias("width"),
+                F.when(negative, -m["value"]).otherwise(m["value"]).alias("value"),
+                F.when(m["percent"], F.lit("percent"))
+                .when(m["currency"], F.lit("currency"))
+                .otherwise(F.coalesce(F.try_element_at(spec.literal_map(UNIT_WORDS), word), F.lit("plain")))
+                .alias("kind"),
+                F.when(m["past_mark"].isNull(), word != "").otherwise(m["past_mark"].rlike(_NEXT_WORD)).alias("counted"),
+            ),
         )
 
     # Offsets are running sums of piece and figure widths.
@@ -102,8 +129,8 @@ def with_mentions(df: DataFrame, text: str, out: str = "mentions") -> DataFrame:
         )
 
     return (
-        df.withColumn("_around", F.transform("_figures", around))
-        .withColumn("_read", F.transform("_around", read))
+        df.withColumn("_around", F.transform(F.transform("_figures", around), marks))
+        .withColumn("_read", F.transform(F.transform(F.transform("_around", scales), rests), read))
         .withColumn("_stops", running_sum(F.transform("_read", lambda m: m["gap"] + m["width"])))
         .withColumn(out, F.zip_with("_read", "_stops", placed))
         .drop("_pieces", "_figures", "_around", "_read", "_stops")

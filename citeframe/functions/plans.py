@@ -18,18 +18,24 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def running_sum(values: Column) -> Column:
-    """The sum of each array element and all before it, in n log n additions: step k
-    adds the value 2 ** k places to the left. A fold that appends to its result would
-    copy it at every element."""
+    """The sum of each element of an integer array and all before it. Longer arrays take
+    n log n additions: step k adds the value 2 ** k places to the left. A fold that appends
+    to its result would copy it at every element."""
+    zero = F.lit(0)
+
+    def short(a: Column) -> Column:
+        return F.transform(a, lambda _, i: F.aggregate(F.slice(a, F.lit(1), i + F.lit(1)), zero, lambda acc, x: acc + x))
 
     def add(by: int) -> Callable[[Column], Column]:
-        moved = lambda a: F.transform(a, lambda x, i: x + F.when(i >= by, F.get(a, i - F.lit(by))).otherwise(F.lit(0)))
+        moved = lambda a: F.transform(a, lambda x, i: x + F.when(i >= by, F.get(a, i - F.lit(by))).otherwise(zero))
         return lambda a: F.when(F.size(a) > by, moved(a)).otherwise(a)
 
-    # An array holds fewer than 2 ** 31 elements; rounds it does not need cost one test.
-    for k in range(31):
-        values = let(values, add(1 << k))
-    return values
+    def long(a: Column) -> Column:
+        for k in range(31):  # an array holds fewer than 2 ** 31 elements
+            a = let(a, add(1 << k))
+        return a
+
+    return let(values, lambda a: F.when(F.size(a) <= 24, short(a)).otherwise(long(a)))
 
 
 def explode_computed(df: DataFrame, items: str, out: str, pos: str | None = None, keep: list[str] | None = None) -> DataFrame:

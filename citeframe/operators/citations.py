@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from .. import spec
 from ..functions import numbers, quotes
-from ..functions.plans import let
+from ..functions.plans import explode_computed, let
 from ..functions.text import display_value, holds_words, norm, quoted
+from ..session import cut_lineage
+from .spans import PAGE, page_figures, values_in_quotes
 
 FIELD_KEY = ["deal_id", "field_name"]
 PAGE_KEY = ["deal_id", "page_number"]
@@ -28,17 +30,12 @@ def resolve_pages(citations: DataFrame, pages: DataFrame) -> DataFrame:
     One page with the cited number: that page. Several files share the number:
     the cited file name must pick exactly one.
     """
-    names = (
-        pages.select(*PAGE_KEY, norm(F.col("file_name")).alias("cited_key"))
-        .groupBy(*PAGE_KEY, "cited_key")
-        .agg(F.count(F.lit(1)).alias("_named"))
-    )
-    counts = names.groupBy(*PAGE_KEY).agg(F.sum("_named").alias("_pages"))
-    joined = (
-        citations.withColumn("cited_key", norm(F.col("source_document")))
-        .join(counts, PAGE_KEY, "left")
-        .join(names, [*PAGE_KEY, "cited_key"], "left")
+    # The files of a deal that have a page of this number: keys only, one row per page number.
+    files = pages.select(*PAGE_KEY, norm(F.col("file_name")).alias("_file")).groupBy(*PAGE_KEY).agg(
+        F.collect_list("_file").alias("_files"), F.count(F.lit(1)).alias("_pages")
     )
+    named = let(F.col("cited_key"), lambda key: F.size(F.filter("_files", lambda file: file == key)))
+    joined = citations.withColumn("cited_key", norm(F.col("source_document"))).join(files, PAGE_KEY, "left").withColumn("_named", named)
     rule = F.when(F.col("_pages") == 1, F.lit("only")).when(F.col("_named") == 1, F.lit("named"))
     absent = F.format_string(
         "The citation points to page %d, which has no text in the document.", F.col("page_number")
@@ -53,7 +50,7 @@ def resolve_pages(citations: DataFrame, pages: DataFrame) -> DataFrame:
     return (
         joined.withColumn("page_rule", rule)
         .withColumn("page_problem", F.when(F.col("_pages").isNull(), absent).when(F.col("page_rule").isNull(), unclear))
-        .drop("_pages", "_named")
+        .drop("_files", "_pages", "_named")
     )
 
 
@@ -64,6 +61,7 @@ def attach_pages(resolved: DataFrame, pages: DataFrame) -> DataFrame:
     text = pages.select(
         F.col("deal_id").alias("_deal"),
         F.col("page_number").alias("_page"),
+        F.col("page_ord"),
         F.col("file_name").alias("page_file"),
         norm(F.col("file_name")).alias("_file_key"),
         F.col("text").alias("page_text"),
@@ -89,7 +87,9 @@ def with_support(df: DataFrame, snippet: str, page: str) -> DataFrame:
         F.struct(F.col("q_start").alias("start"), F.col("q_stop").alias("stop")),
         lambda quote: F.filter("_mentions", lambda m: (m["start"] < quote["stop"]) & (quote["start"] < m["stop"])),
     )
-    return df.withColumn("q_numbers", overlapping).drop("_parts", "_figure_page", "_mentions", "q_page", "q_start", "q_stop")
+    return df.withColumn("q_numbers", overlapping).drop(
+        "_parts", "_figure_page", "_mentions", "q_page", "q_joined", "q_start", "q_stop"
+    )
 
 
 def number_in_quote(value: Column) -> Column:
@@ -103,12 +103,35 @@ def text_in_quote(value_norm: Column) -> Column:
     return F.coalesce(F.exists("q_texts", lambda t: holds_words(t, value_norm)), F.lit(False))
 
 
+def locate_quotes(cited: DataFrame, pages: DataFrame) -> DataFrame:
+    """Finds the quote of every citation on its page, as a table of its own that no longer
+    holds page text: adds what `resolve_pages` and `with_quote` add, `long_enough`,
+    `page_ord`, and `_cite`, a number per row."""
+    numeric = spec.is_numeric(F.col("field_name"))
+    df = quotes.with_quote(attach_pages(resolve_pages(cited, pages), pages), "snippet", "page_text", numeric)
+    df = df.withColumn("long_enough", quotes.quoted_chars(F.col("_parts")) >= quotes.MIN_SNIPPET_CHARS)
+    return cut_lineage(df.withColumn("_cite", F.monotonically_increasing_id()).drop("_parts", "page_text", "q_page"))
+
+
+def with_stated_values(located: DataFrame, pages: DataFrame, claims: list[str]) -> DataFrame:
+    """Adds `_stated`: those of the columns `claims` (as an array of values) that a figure
+    inside the citation's quote states. Figures are read once per cited page."""
+    claim = F.array_distinct(F.array_compact(F.array(*claims)))
+    found = located.filter("q_start is not null").select(
+        "_cite", "field_name", *PAGE, F.col("q_joined").alias("joined"), "q_start", "q_stop", claim.alias("_claims")
+    )
+    cited = located.filter("q_start is not null").select(*PAGE).distinct()
+    figures = page_figures(pages.select(*PAGE, "text").join(cited, PAGE, "left_semi"))
+    stated = values_in_quotes(explode_computed(found, "_claims", "claim"), figures)
+    return located.join(stated.groupBy("_cite").agg(F.collect_set("claim").alias("_stated")), "_cite", "left")
+
+
 def check_citations(values: DataFrame, citations: DataFrame, pages: DataFrame) -> DataFrame:
     """One row per citation of a proposed value, with why it fails (`reason`,
     `detail`; null when it holds), how it was verified, and the value the
     citation itself states (`cited_num` / `cited_text`) when its passage backs it."""
     cited = citations.join(values.select(*FIELD_KEY, "num_value", "text_value"), FIELD_KEY)
-    df = with_support(attach_pages(resolve_pages(cited, pages), pages), "snippet", "page_text").drop("page_text")
+    df = locate_quotes(cited, pages)
 
     field = F.col("field_name")
     numeric, quote_only = spec.is_numeric(field), spec.is_quote_only(field)
@@ -117,10 +140,8 @@ def check_citations(values: DataFrame, citations: DataFrame, pages: DataFrame) -
         .withColumn("_cited_norm", norm(F.col("value")))
         .withColumn("_cited_figures", F.when(numeric, F.col("_cited_norm")))
     )
-    df = numbers.with_mentions(df, "_cited_figures", "_cited")
-    in_quote = F.when(numeric, number_in_quote(F.col("num_value"))).otherwise(text_in_quote(F.col("_value_norm")))
     df = (
-        df.withColumn("_value_ok", in_quote)
+        numbers.with_mentions(df, "_cited_figures", "_cited")
         .withColumn("_one", F.when(F.size("_cited") == 1, F.get("_cited", F.lit(0))))
         .withColumn(
             "_percent_reading",
@@ -134,6 +155,10 @@ def check_citations(values: DataFrame, citations: DataFrame, pages: DataFrame) -
         )
         .withColumn("_plain_reading", numbers.coerced(field, F.col("_one.value")))
     )
+    df = with_stated_values(df, pages, ["num_value", "_percent_reading", "_plain_reading"])
+    stated = lambda claim: F.coalesce(F.array_contains("_stated", F.col(claim)), F.lit(False))
+    in_quote = F.when(numeric, stated("num_value")).otherwise(text_in_quote(F.col("_value_norm")))
+    df = df.withColumn("_value_ok", in_quote)
     shown = quoted(display_value(F.col("num_value"), F.col("text_value")))
     reason = (
         F.when(F.col("page_problem").isNotNull(), F.lit("page_not_in_document"))
@@ -168,8 +193,8 @@ def check_citations(values: DataFrame, citations: DataFrame, pages: DataFrame) -
         .withColumn(
             "cited_num",
             F.coalesce(
-                F.when(usable & number_in_quote(F.col("_percent_reading")), F.col("_percent_reading")),
-                F.when(usable & number_in_quote(F.col("_plain_reading")), F.col("_plain_reading")),
+                F.when(usable & stated("_percent_reading"), F.col("_percent_reading")),
+                F.when(usable & stated("_plain_reading"), F.col("_plain_reading")),
             ),
         )
         .withColumn(

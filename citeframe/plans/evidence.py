@@ -10,6 +10,7 @@ from ..operators import citations as cite
 from ..operators import conflicts as conf
 from ..operators.integrity import enforce_integrity, listed_as_missing
 from ..operators.passages import passages
+from ..operators.spans import page_figures, values_in_quotes
 from ..session import cut_lineage
 from . import packages as pkg
 from .registry import query, spread, table
@@ -149,6 +150,35 @@ def verify_citations(spark, sf_dir):
     return checked.select("deal_id", "field_name", "cite_ord", "reason", "verification")
 
 
+@query(
+    "number_in_quote",
+    f"""WITH {pkg.SQL_LINES},
+    claims AS (
+      SELECT o_orderkey AS deal_id, 0 AS page_ord, unnest([round(o_totalprice, 2), CAST(o_orderkey AS DOUBLE)]) AS claim,
+             round(o_totalprice, 2) AS stated FROM orders
+      UNION ALL SELECT deal_id, rk, unnest([price, price + 1, quantity]), price FROM lines)
+    SELECT DISTINCT deal_id, page_ord, claim FROM claims WHERE claim = stated""",
+)
+def number_in_quote(spark, sf_dir):
+    """Prices claimed for the line of a page that states its price, which is quoted from the
+    word before the colon to the end of the line."""
+    pages = cut_lineage(pkg.package_pages(spark, sf_dir).select("deal_id", "page_ord", "text"))
+    at = F.instr("text", "Price: $")
+    stop = at + F.length(F.substring_index(F.substr("text", at), "\n", 1)) - 1
+    money = lambda x: F.regexp_replace(x, "[,%]", "").cast("double")
+    figures = F.transform(F.regexp_extract_all("text", F.lit("[0-9][0-9,.]*"), F.lit(0)), money)
+    price = F.regexp_extract("text", r"Price: \$([0-9,.]+)", 1)
+    quantity = F.when(F.col("page_ord") > 0, F.get(figures, F.lit(1)))
+    claims = pages.withColumn("claim", F.explode(F.array_compact(F.array(
+        money(price), F.when(F.col("page_ord") == 0, F.get(figures, F.lit(0))), F.when(F.col("page_ord") > 0, money(price) + 1), quantity,
+    ))))
+    claims = claims.select(
+        "deal_id", "page_ord", F.lit(False).alias("joined"), (at - 1).alias("q_start"), stop.alias("q_stop"),
+        F.lit("asking_price").alias("field_name"), "claim",
+    )
+    return values_in_quotes(claims, page_figures(pages)).select("deal_id", "page_ord", "claim").distinct()
+
+
 @query(
     "canonical_citations",
     f"""WITH {SQL_CITATIONS},
