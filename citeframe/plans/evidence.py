@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numbers
+from ..functions.plans import filter_computed
 from ..functions.text import norm
 from ..operators import citations as cite
 from ..operators import conflicts as conf
 from ..operators.integrity import enforce_integrity, listed_as_missing
 from ..operators.passages import passages
+from ..operators.phrases import find_quotes, postings
 from ..operators.spans import page_figures, values_in_quotes
 from ..session import cut_lineage
 from . import packages as pkg
@@ -179,6 +181,54 @@ def number_in_quote(spark, sf_dir):
     return values_in_quotes(claims, page_figures(pages)).select("deal_id", "page_ord", "claim").distinct()
 
 
+SQL_QUOTED = r"""
+n AS (
+  SELECT doc_id, text, trim(regexp_replace(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[ \t\r]+', ' ', 'g'), ' \n[ \n]*|\n[ \n]+', chr(10), 'g'), ' ' || chr(10)) AS form
+  FROM documents),
+p AS (SELECT *, regexp_extract_all(form, '[\p{Ll}]{3,} [\p{Ll}]{3,} [\p{Ll}]{3,}') AS phrases FROM n),
+q AS (
+  SELECT doc_id, doc_id % 4 AS kind, doc_id % 3 = 0 AS numeric, phrases[1] AS a, phrases[2] AS b,
+         CASE WHEN doc_id % 4 = 3 THEN 'see ' || substr(a, 1, 2) || '-' || chr(10) || substr(a, 3) || ' end' ELSE form END AS page
+  FROM p WHERE len(phrases) >= 2)
+"""
+
+
+@query(
+    "quotes_by_position",
+    rf"""WITH {SQL_QUOTED},
+    t AS (
+      SELECT *, '[^\p{{L}}\p{{N}}]' AS sep, CASE WHEN numeric THEN '\P{{Nd}}' ELSE '.' END AS gap, replace(a, ' ', '[ \n]') AS pa, replace(b, ' ', '[ \n]') AS pb FROM q),
+    m AS (
+      SELECT *, CASE kind WHEN 0 THEN pa WHEN 1 THEN pa || '(?:' || sep || '|' || sep || gap || '{{0,148}}?' || sep || ')' || pb
+                          WHEN 2 THEN pb || '(?:' || sep || '|' || sep || gap || '{{0,148}}?' || sep || ')' || pa END AS core FROM t),
+    f AS (SELECT *, '(?s)^(|.*?' || sep || ')(' || core || ')(?:' || sep || '|$)' AS pattern FROM m)
+    SELECT doc_id, kind = 3 AS joined,
+           CAST(CASE WHEN kind = 3 THEN 4 ELSE length(regexp_extract(page, pattern, 1)) END AS INTEGER) AS start,
+           CAST(CASE WHEN kind = 3 THEN 4 + length(a) ELSE length(regexp_extract(page, pattern, 1)) + length(regexp_extract(page, pattern, 2)) END AS INTEGER) AS stop
+    FROM f WHERE kind = 3 OR regexp_matches(page, pattern)""",
+)
+def quotes_by_position(spark, sf_dir):
+    """Two three-word phrases of a document as a quote: one, both, both in the wrong order,
+    and one that the page breaks at a line end."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    form = docs.select("doc_id", "text", norm(F.col("text")).alias("_form"))
+    phrases_ = F.regexp_extract_all("_form", F.lit(r"[\p{Ll}]{3,} [\p{Ll}]{3,} [\p{Ll}]{3,}"), F.lit(0))
+    chosen = filter_computed(form.withColumn("_p", phrases_), F.size("_p") >= 2).select(
+        "doc_id", "text", (F.col("doc_id") % 4).alias("kind"), F.get("_p", F.lit(0)).alias("a"), F.get("_p", F.lit(1)).alias("b")
+    )
+    broken = F.concat(F.lit("see "), F.left("a", F.lit(2)), F.lit("-\n"), F.substr("a", F.lit(3)), F.lit(" end"))
+    kind, gap = F.col("kind"), F.lit(" ... ")
+    chosen = chosen.withColumn(
+        "snippet", F.when(kind == 1, F.concat("a", gap, "b")).when(kind == 2, F.concat("b", gap, "a")).otherwise(F.col("a"))
+    ).withColumn("text", F.when(kind == 3, broken).otherwise(F.col("text")))
+    asked = cut_lineage(chosen.select(
+        F.col("doc_id").alias("quote_id"), F.col("doc_id").alias("deal_id"), F.lit(0).alias("page_ord"), "snippet",
+        (F.col("doc_id") % 3 == 0).alias("numeric"), "text",
+    ))
+    found = find_quotes(asked.drop("text"), postings(asked.select("deal_id", "page_ord", "text")))
+    return found.withColumnRenamed("quote_id", "doc_id")
+
+
 @query(
     "canonical_citations",
     f"""WITH {SQL_CITATIONS},
