@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..session import ship_package
+from .blocks import search_block
 from .checks import error_list
 
 # Results per search and query length limits.
@@ -13,6 +16,9 @@ DEFAULT_MATCHES = 6
 MAX_MATCHES = 20
 MIN_QUERY_CHARS = 3
 MAX_QUERY_CHARS = 4000
+# Vectors and queries that meet in one task of a batch search.
+PART_ROWS = 16_384
+BATCH = 1024
 
 RESULT_COLUMNS = [
     "document_id", "document_name", "deal_id", "source_type", "is_verified_knowledge", "page_number", "chunk_index",
@@ -84,45 +90,76 @@ def match_chunks(
     )
 
 
+def search_parts(chunks: DataFrame, documents: DataFrame, requests: DataFrame, part_rows: int = PART_ROWS, batch: int = BATCH) -> DataFrame:
+    """What every part of a tenant's vectors tells each of its queries: query_id,
+    document_id, chunk_index, similarity of the part's k best, and one row without document
+    with `pairs`, the vectors open to the query, and `scored`, those that were compared.
+
+    Vectors and queries of a tenant are dealt by hash into parts of about `part_rows` rows
+    and batches of about `batch` queries. A large tenant is many groups, none larger than
+    that; the sizes come from counts per tenant."""
+    ship_package(chunks.sparkSession)
+    docs = documents.filter(~F.col("is_archived")).select("document_id", "organization_id", F.col("is_verified_knowledge").alias("verified"))
+    pool = chunks.select(
+        "organization_id", F.col("deal_id").cast("string").alias("deal"), "document_id", "chunk_index", "embedding"
+    ).join(docs, ["document_id", "organization_id"])
+    asked = requests.select(
+        "query_id", "organization_id", F.col("deal_id").cast("string").alias("deal"), "verified_only", "query_vector",
+        F.least(F.greatest(F.col("k"), F.lit(1)), F.lit(MAX_MATCHES)).alias("k"),
+    )
+    sizes = pool.groupBy("organization_id").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("_parts"))
+    batches = asked.groupBy("organization_id").agg(F.ceil(F.count(F.lit(1)) / batch).cast("int").alias("_batches"))
+    dealt = sizes.join(batches, "organization_id")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(dealt, "organization_id").withColumn("_batch", F.pmod(F.xxhash64("query_id"), "_batches").cast("int"))
+    right = pool.join(dealt, "organization_id").withColumn("_part", F.pmod(F.xxhash64("document_id", "chunk_index"), "_parts").cast("int"))
+    key = ["organization_id", "_part", "_batch"]
+    left = left.withColumn("_part", numbers("_parts")).drop("_parts", "_batches")
+    right = right.withColumn("_batch", numbers("_batches")).drop("_parts", "_batches")
+    type_of = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = (
+        f"query_id {type_of(asked, 'query_id')}, document_id {type_of(pool, 'document_id')}, chunk_index {type_of(pool, 'chunk_index')}, "
+        "similarity double, pairs long, scored long"
+    )
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_search(schema), schema)
+
+
+def _search(schema: str):
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def work(key: tuple[pa.Scalar, ...], asked: pa.Table, pool: pa.Table) -> pa.Table:
+        rows = list(search_block(asked, pool)) if asked.num_rows and pool.num_rows else []
+        types = [asked.schema.field("query_id").type, pool.schema.field("document_id").type, pool.schema.field("chunk_index").type]
+        types += [pa.float64(), pa.int64(), pa.int64()]
+        return pa.table([pa.array([row[c] for row in rows], t) for c, t in zip(names, types)], names=names)
+
+    return work
+
+
+def search_cost(parts: DataFrame) -> DataFrame:
+    """query_id, pairs, scored: how many vectors were open to a query, and compared."""
+    return parts.filter("pairs is not null").groupBy("query_id").agg(F.sum("pairs").alias("pairs"), F.sum("scored").alias("scored"))
+
+
 def match_chunks_batch(chunks: DataFrame, documents: DataFrame, requests: DataFrame) -> DataFrame:
     """Many searches at once. `requests`: query_id, organization_id, deal_id (null:
     any), verified_only, k, query_vector.
 
-    Joined on the tenant, so a query only meets its own tenant's vectors. The text
-    of a chunk is not carried through ranking: it is fetched for the k results. The
-    `row_number <= k` is applied per task before the shuffle on query_id.
+    A query only meets its own tenant's vectors, in parts; each part sends its k best (see
+    `blocks`). The text of a chunk is not carried through ranking: it is fetched for the k
+    results.
     """
-    docs = documents.filter(~F.col("is_archived")).select(
-        "document_id", F.col("organization_id").alias("_doc_org"), "is_verified_knowledge"
-    )
-    pool = (
-        chunks.select("organization_id", F.col("deal_id").alias("_chunk_deal"), "document_id", "chunk_index", "embedding")
-        .join(docs, "document_id")
-        .filter(F.col("organization_id") == F.col("_doc_org"))
-        .withColumn("_size", _norm2(F.col("embedding")))
-    )
-    asked = requests.select(
-        "query_id", "organization_id", "deal_id", "verified_only", "k", "query_vector",
-        _norm2(F.col("query_vector")).alias("_query_size"),
-    )
-    scored = (
-        asked.join(pool, "organization_id")
-        .filter(F.col("deal_id").isNull() | (F.col("deal_id") == F.col("_chunk_deal")))
-        .filter(~F.col("verified_only") | F.col("is_verified_knowledge"))
-        .select(
-            "query_id", "k", "document_id", "chunk_index",
-            F.try_divide(
-                _dot(F.col("embedding"), F.col("query_vector")), F.col("_size") * F.col("_query_size")
-            ).alias("similarity"),
-        )
-    )
+    scored = search_parts(chunks, documents, requests).filter(F.col("document_id").isNotNull())
+    wanted = requests.select("query_id", F.least(F.greatest(F.col("k"), F.lit(1)), F.lit(MAX_MATCHES)).alias("k"))
     best = Window.partitionBy("query_id").orderBy(
         F.col("similarity").desc_nulls_last(), "document_id", "chunk_index"
     )
     ranked = (
-        scored.withColumn("rank", F.row_number().over(best))
+        scored.select("query_id", "document_id", "chunk_index", "similarity")
+        .withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= MAX_MATCHES)
-        .filter(F.col("rank") <= F.least(F.greatest(F.col("k"), F.lit(1)), F.lit(MAX_MATCHES)))
+        .join(wanted, "query_id")
+        .filter(F.col("rank") <= F.col("k"))
         .drop("k")
     )
     details = documents.select("document_id", "document_name", "source_type", "is_verified_knowledge")

@@ -232,6 +232,18 @@ def match_chunks(spark, sf_dir):
     return found.select("document_id", F.round("similarity", 6).alias("similarity"))
 
 
+def _search_requests(spark, sf_dir):
+    """Every vector as a query of its tenant."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("query_id"),
+        (F.col("vec_id") % 10).alias("organization_id"),
+        F.when(F.col("vec_id") % 5 == 0, F.col("label")).alias("deal_id"),
+        (F.col("vec_id") % 3 == 0).alias("verified_only"),
+        (F.col("vec_id") % 25).cast("int").alias("k"),
+        F.col("embedding").alias("query_vector"),
+    )
+
+
 @query(
     "match_chunks_batch",
     f"""WITH {SQL_RAG},
@@ -245,18 +257,24 @@ def match_chunks(spark, sf_dir):
     FROM s WHERE rank <= least(greatest(k, 1), 20)""",
 )
 def match_chunks_batch(spark, sf_dir):
-    requests = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("query_id"),
-        (F.col("vec_id") % 10).alias("organization_id"),
-        F.when(F.col("vec_id") % 5 == 0, F.col("label")).alias("deal_id"),
-        (F.col("vec_id") % 3 == 0).alias("verified_only"),
-        (F.col("vec_id") % 25).cast("int").alias("k"),
-        F.col("embedding").alias("query_vector"),
-    )
+    requests = _search_requests(spark, sf_dir)
     found = rt.match_chunks_batch(_rag_chunks(spark, sf_dir), _rag_documents(spark, sf_dir), requests)
     return found.select("query_id", "document_id", "rank", F.round("similarity", 6).alias("similarity"), "content")
 
 
+@query(
+    "search_cost",
+    f"""WITH {SQL_RAG},
+    q AS (SELECT vec_id AS query_id, vec_id % 10 AS organization_id, vec_id % 3 = 0 AS verified_only, CASE WHEN vec_id % 5 = 0 THEN label END AS wanted_deal FROM embeddings)
+    SELECT query_id, count(*) FILTER ((wanted_deal IS NULL OR wanted_deal = deal_id) AND (NOT verified_only OR verified)) AS pairs, TRUE AS within
+    FROM q JOIN pool USING (organization_id) GROUP BY query_id""",
+)
+def search_cost(spark, sf_dir):
+    """Vectors open to each query, and that no more than these were compared."""
+    parts = rt.search_parts(_rag_chunks(spark, sf_dir), _rag_documents(spark, sf_dir), _search_requests(spark, sf_dir))
+    return rt.search_cost(parts).select("query_id", "pairs", (F.col("scored") <= F.col("pairs")).alias("within"))
+
+
 @query(
     "search_requests_checked",
     f"""WITH r AS (SELECT doc_id, length(trim(text, {SQL_BLANKS})) AS n, CASE WHEN doc_id % 4 > 0 THEN CAST(doc_id % 24 AS INTEGER) END AS k FROM documents)
