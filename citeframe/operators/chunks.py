@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.plans import explode_computed
+from ..functions.plans import explode_computed, let
 from ..functions.text import clean_for_chunks, is_blank, strip
 from .checks import error_list
 
@@ -16,55 +16,64 @@ VECTOR_LENGTH = 1536
 SOURCE_TYPES = ["analyst_note", "deal_package", "decision", "investment_criteria", "other", "outcome"]
 
 
+_BLOCK = 32
+_PIECE = 2048
+_SPANS = "array<struct<start:int,stop:int>>"
+
+
+def with_pieces(df: DataFrame, text: str) -> DataFrame:
+    """Adds `_pieces`, the text cut every 2,048 characters, and `_length`. Finding a place
+    in one long text would count its characters from the beginning each time."""
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+    pieces = F.when(F.length(text) > _PIECE, cut).otherwise(F.array(text))
+    return df.withColumn("_pieces", pieces).withColumn("_length", F.length(text))
+
+
+def _cut_out(start: Column, stop: Column) -> Column:
+    """Characters of the text from `start` up to `stop`, read from the pieces they lie in."""
+    first, last = F.shiftright(start, _PIECE.bit_length() - 1), F.shiftright(stop - F.lit(1), _PIECE.bit_length() - 1)
+    near = F.when(first == last, F.get("_pieces", first)).otherwise(F.array_join(F.slice("_pieces", first + F.lit(1), last - first + F.lit(1)), ""))
+    return F.substr(near, start - F.shiftleft(first, _PIECE.bit_length() - 1) + F.lit(1), stop - start)
+
+
 def _last(window: Column, mark: str, width: int) -> Column:
     """0-based start of the last `mark` in `window`, -1 when absent."""
     at = F.instr(F.reverse(window), mark[::-1])
     return F.when(at > 0, F.length(window) - at - F.lit(width - 1)).otherwise(F.lit(-1))
 
 
-def chunk_spans(text: Column, size: int, overlap: int) -> Column:
-    """Chunk (start, stop) offsets of a cleaned text, folded over enough steps.
+def chunk_spans(size: int, overlap: int) -> Column:
+    """Chunk (start, stop) offsets of a text that `with_pieces` has cut.
 
     A chunk ends after the last empty line or blank found in the last two fifths of
     the window (a sentence end is always followed by a blank, so the blank decides),
-    else at the full size.
+    else at the full size. A step reads only its window. Spans are gathered in blocks, so
+    that appending one does not copy all before it.
     """
     least = size * 3 // 5
     step = max(1, least + 1 - overlap)
-    steps = F.sequence(F.lit(0), F.ceil(F.length(text) / F.lit(step)).cast("int"))
-    start_state = F.struct(
-        F.lit(0).alias("start"),
-        F.from_json(F.lit("[]"), "array<struct<start:int,stop:int>>").alias("spans"),
-    )
+    none = F.from_json(F.lit("[]"), _SPANS)
+    state = lambda start, spans: F.struct(start.cast("int").alias("start"), spans.alias("spans"))
 
-    def fold(state: Column, _: Column) -> Column:
-        length = F.length(text)
-        start = state["start"]
-        window = F.substr(text, start + F.lit(least + 1), F.lit(size - least))
-        cut = F.greatest(_last(window, " ", 1), _last(window, "\n\n", 2))
-        stop = (
-            F.when(start + F.lit(size) >= length, length)
-            .when(cut >= 0, start + F.lit(least) + cut + F.lit(1))
-            .otherwise(start + F.lit(size))
-        )
-        # `stop` is bound once, then used for the span and for the next start.
-        bound = F.get(
-            F.transform(
-                F.array(stop),
-                lambda end: F.struct(
-                    F.when(end >= length, F.lit(-1))
-                    .otherwise(F.greatest(start + F.lit(1), end - F.lit(overlap)))
-                    .alias("start"),
-                    F.concat(
-                        state["spans"], F.array(F.struct(start.alias("start"), end.alias("stop")))
-                    ).alias("spans"),
-                ),
-            ),
-            F.lit(0),
-        )
-        return F.when((start < 0) | (length == 0), state).otherwise(bound)
+    def stop_of(start: Column) -> Column:
+        window = _cut_out(start + F.lit(least), start + F.lit(size))
+        cut = let(window, lambda w: F.greatest(_last(w, " ", 1), _last(w, "\n\n", 2)))
+        found = let(cut, lambda c: F.when(c >= 0, start + F.lit(least + 1) + c).otherwise(start + F.lit(size)))
+        return F.when(start + F.lit(size) >= F.col("_length"), F.col("_length")).otherwise(found)
 
-    return F.aggregate(steps, start_state, fold, lambda state: state["spans"])
+    def one(acc: Column, _: Column) -> Column:
+        start = acc["start"]
+        after = lambda stop: F.when(stop >= F.col("_length"), F.lit(-1)).otherwise(F.greatest(start + F.lit(1), stop - F.lit(overlap)))
+        bound = let(stop_of(start), lambda stop: state(after(stop), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), stop.alias("stop"))))))
+        return F.when(start < 0, acc).otherwise(bound)
+
+    def block(acc: Column, _: Column) -> Column:
+        made = F.aggregate(F.sequence(F.lit(1), F.lit(_BLOCK)), state(acc["start"], none), one)
+        return F.when(acc["start"] < 0, acc).otherwise(let(made, lambda m: state(m["start"], F.concat(acc["spans"], m["spans"]))))
+
+    blocks = F.sequence(F.lit(0), F.ceil(F.col("_length") / F.lit(step * _BLOCK)).cast("int"))
+    start = F.when(F.col("_length") > 0, F.lit(0)).otherwise(F.lit(-1))
+    return F.aggregate(blocks, state(start, none), block, lambda acc: acc["spans"])
 
 
 def chunk_pages(
@@ -73,14 +82,12 @@ def chunk_pages(
 ) -> DataFrame:
     """Chunks of every page: `keys`, page_ord, page_number, chunk_ord, content and,
     when `numbered`, chunk_index over the document. Chunks never cross a page, so
-    all cutting is local to a row; only numbering shuffles."""
+    all cutting is local to a row, in time linear in the page; only numbering shuffles."""
     if size <= 0 or overlap < 0 or overlap >= size:
         raise ValueError("Chunk size must be positive and overlap smaller than it.")
     cleaned = pages.select(*keys, "page_ord", "page_number", clean_for_chunks(F.col("text")).alias("_text"))
-    spans = cleaned.withColumn("_spans", chunk_spans(F.col("_text"), size, overlap))
-    contents = F.transform(
-        "_spans", lambda s: strip(F.substr(F.col("_text"), s["start"] + F.lit(1), s["stop"] - s["start"]))
-    )
+    spans = with_pieces(cleaned, "_text").withColumn("_spans", chunk_spans(size, overlap)).drop("_text", "_length")
+    contents = F.transform("_spans", lambda s: strip(_cut_out(s["start"], s["stop"])))
     kept = spans.withColumn("_contents", F.filter(contents, lambda c: c != ""))
     if numbered:
         kept = number_pages(kept, keys)
