@@ -76,15 +76,20 @@ WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\
 i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
 ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM d WHERE len(w) >= 5),
 iss AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM i WHERE len(w) >= 5),
-n AS (SELECT item_id, count(*) AS item_shingles FROM iss GROUP BY 1)
+n AS (SELECT item_id, count(*) AS item_shingles FROM iss GROUP BY 1),
+brief AS (SELECT item_id, len(w) AS k, array_to_string(w, ' ') AS s FROM i WHERE len(w) BETWEEN 1 AND 4),
+dbrief AS (
+  SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' '))) AS s
+  FROM d, (SELECT DISTINCT k FROM brief) WHERE len(w) >= k)
 SELECT doc_id, item_id, item_shingles, count(*) AS shared, count(*) / item_shingles AS containment
 FROM ds JOIN iss USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, item_shingles
-HAVING count(*) >= 0.8 * item_shingles"""
+HAVING count(*) >= 0.8 * item_shingles
+UNION ALL SELECT doc_id, item_id, 1, 1, 1.0 FROM dbrief JOIN brief USING (k, s)"""
 
 
 @register("op5_decontamination", LEAKS_SQL)
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), short_items=False)
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 MIX_SQL = r"""

@@ -3,10 +3,12 @@
 Test items are short and documents are long, so plain set similarity says nothing. The
 search is one-sided instead: of every item, each MinHash function keeps the shingle
 with its smallest value, and a document is a candidate when it holds enough of these
-shingles. Items are partitioned by size: small ones keep all their shingles, larger
-partitions keep a fixed number of samples, and the count a candidate needs follows from
-the sample count, so that an item at the threshold is missed with a probability below
-`MISS`. Candidates are confirmed on all shingles of the item, as words, not as hashes.
+shingles. Items are partitioned by size (powers of two); a partition has its own number of
+functions and its own table of probes. The kept shingles are a random subset of the item's,
+so the number that a candidate needs follows from the hypergeometric distribution: an item
+at the threshold shows fewer with a probability below `MISS`, and never where so few of its
+shingles may be missing that some kept ones must be there. Candidates are confirmed on all
+shingles of the item, as words, not as hashes.
 
 Items are the query set. They are cut into blocks of a bounded number of words; each
 block goes to the tasks with a scan of its own, whose result is written before the next
@@ -19,6 +21,7 @@ import math
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +40,23 @@ BLOCK_WORDS = 500_000
 _BITS = 22
 
 
-def needed_hits(samples: int, containment: float, miss: float = MISS) -> int:
-    """Largest h such that an item at the threshold shows fewer than h of its samples
-    with a probability below `miss`; at least one."""
-    below = 0.0
-    for h in range(samples + 1):
-        below += math.comb(samples, h) * containment**h * (1 - containment) ** (samples - h)
-        if below >= miss:
+def functions_of(partition: int, samples: int = SAMPLES) -> int:
+    """MinHash functions of the size partition 2 ** (partition - 1) < shingles <= 2 ** partition."""
+    return min(samples, max(1, 4 * 2 ** (partition // 2)))
+
+
+@lru_cache(maxsize=100_000)
+def needed_hits(shingles: int, kept: int, containment: float, miss: float = MISS) -> int:
+    """Largest h such that of `kept` random ones of an item's shingles, fewer than h are in
+    a document at the threshold with a probability below `miss`; at least one."""
+    there = min(shingles, math.ceil(round(containment * shingles, 9)))
+    ways = math.comb(shingles, kept)
+    below = 0
+    for h in range(max(0, kept - (shingles - there)), kept + 1):
+        below += math.comb(there, h) * math.comb(shingles - there, kept - h)
+        if below >= miss * ways:
             return max(1, h)
-    return samples
+    return kept
 
 
 def _words_of(text: str, width: int) -> tuple[list[bytes], set[tuple[bytes, ...]]]:
@@ -53,56 +64,65 @@ def _words_of(text: str, width: int) -> tuple[list[bytes], set[tuple[bytes, ...]
     return words, {tuple(words[k : k + width]) for k in range(len(words) - width + 1)}
 
 
+class Partition:
+    """Items of one size class and shingle width: their probes, and what each item needs."""
+
+    def __init__(self, functions: int):
+        self.functions = functions
+        self.items: list[tuple[int, str, int]] = []
+        self.probes: dict[int, list[int]] = defaultdict(list)
+
+    def add(self, item_id: int, text: str, shingles: np.ndarray, containment: float) -> None:
+        kept = np.unique(argmin_shingles(shingles, self.functions))
+        for value in kept.tolist():
+            self.probes[value].append(len(self.items))
+        self.items.append((item_id, text, needed_hits(len(shingles), len(kept), containment)))
+
+    def candidates(self, hits: set[int]) -> Iterator[tuple[int, str]]:
+        tally: dict[int, int] = defaultdict(int)
+        for value in hits & self.probes.keys():
+            for number in self.probes[value]:
+                tally[number] += 1
+        yield from (self.items[number][:2] for number, n in tally.items() if n >= self.items[number][2])
+
+
 class ItemBlock:
-    """Sketches of one block of items, as a task uses them."""
+    """Sketches of one block of items, as a task uses them: a partition for each shingle
+    width (items shorter than a shingle have their own) and size class."""
 
     def __init__(self, items: list[tuple[int, str]], size: int, containment: float, samples: int = SAMPLES, short_items: bool = True):
-        self.size, self.containment, self.items = size, containment, []
-        probes: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        self.containment = containment
+        self.partitions: dict[tuple[int, int], Partition] = {}
         for item_id, text in items:
             hashes = hash_words(split_words(text))
             if len(hashes) < (1 if short_items else size):
                 continue
-            width = min(size, len(hashes))
             shingles = np.unique(shingle_stream(hashes, size))
-            partition = max(0, math.ceil(math.log2(len(shingles))))
-            if 2**partition <= samples:
-                # Small sizes: every shingle is a sample, and the rule is exact.
-                kept, need = shingles, max(1, math.ceil(round(containment * len(shingles), 9)))
-            else:
-                kept, counts = np.unique(argmin_shingles(shingles, samples), return_counts=True)
-                # Distinct shingles count once; each stands for at most max(counts) samples.
-                need = max(1, math.ceil(needed_hits(samples, containment) / counts.max()))
-            number = len(self.items)
-            self.items.append((item_id, text, width, need))
-            for value in kept.tolist():
-                probes[width][value].append(number)
-        self.probes = {width: dict(found) for width, found in probes.items()}
-        self.filters = {}
-        for width, found in self.probes.items():
-            flags = np.zeros(1 << _BITS, bool)
-            flags[np.fromiter(found, np.uint64, len(found)) >> np.uint64(64 - _BITS)] = True
-            self.filters[width] = flags
-
-    def candidates(self, hashes: np.ndarray) -> Iterator[int]:
-        for width, found in self.probes.items():
+            key = min(size, len(hashes)), math.ceil(math.log2(len(shingles)))
+            if key not in self.partitions:
+                self.partitions[key] = Partition(functions_of(key[1], samples))
+            self.partitions[key].add(item_id, text, shingles, containment)
+        # One look per shingle of a document tells whether any partition may know it.
+        self.filters: dict[int, np.ndarray] = {}
+        for (width, _), partition in self.partitions.items():
+            flags = self.filters.setdefault(width, np.zeros(1 << _BITS, bool))
+            flags[np.fromiter(partition.probes, np.uint64, len(partition.probes)) >> np.uint64(64 - _BITS)] = True
+
+    def candidates(self, hashes: np.ndarray) -> Iterator[tuple[int, int, str]]:
+        for width, flags in self.filters.items():
             if len(hashes) < width:
                 continue
             stream = shingle_stream(hashes, width)
-            hits = stream[self.filters[width][stream >> np.uint64(64 - _BITS)]]
-            if len(hits):
-                tally: dict[int, int] = defaultdict(int)
-                for value in set(hits.tolist()):
-                    for number in found.get(value, ()):
-                        tally[number] += 1
-                yield from (number for number, n in tally.items() if n >= self.items[number][3])
+            hits = set(stream[flags[stream >> np.uint64(64 - _BITS)]].tolist())
+            for (own, _), partition in self.partitions.items():
+                if hits and own == width:
+                    yield from ((width, *item) for item in partition.candidates(hits))
 
     def matches(self, text: str | None) -> Iterator[tuple[int, int, int]]:
         """(item_id, item's shingles, shared shingles) of each item the text contains."""
         hashes = hash_words(split_words(text))
         own: dict[int, set] = {}
-        for number in self.candidates(hashes):
-            item_id, item_text, width, _ = self.items[number]
+        for width, item_id, item_text in self.candidates(hashes):
             if width not in own:
                 own[width] = _words_of(text, width)[1]
             wanted = _words_of(item_text, width)[1]
@@ -151,8 +171,8 @@ def find_leaks(
     at least `containment` of an item's distinct shingles.
 
     An item shorter than a shingle counts as one shingle of its own length, or matches
-    nothing without `short_items`: op5, its SQL and the pipeline leave such items out, as
-    a word or two in a document are no sign of a leak. Items and documents without words
+    nothing without `short_items`: op5 reports such items, the pipeline leaves them out, as
+    a word or two in a document are no reason to drop it. Items and documents without words
     match nothing. Null ids are returned as null; repeated rows
     on either side give one row each. Only the named columns are read. Without items or
     documents there are no rows.

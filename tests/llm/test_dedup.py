@@ -166,3 +166,28 @@ def test_leaks_of_a_block_are_written_before_the_next_is_fetched(spark, monkeypa
     out = decontaminate.find_leaks(docs, items, containment=1.0)
     assert written == [0, 1, 2] and "MapInArrow" not in out._jdf.queryExecution().toString()
     assert sorted((r.doc_id, r.item_id) for r in out.collect()) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_size_partitions_have_their_own_samples_and_cuts():
+    draw = random.Random(17)
+    words = [f"w{k}" for k in range(5000)]
+    items = [(k, " ".join(draw.choices(words, k=n))) for k, n in enumerate([1, 3, 4, 5, 6, 8, 12, 20, 36, 60, 100, 300, 1500])]
+    block = decontaminate.ItemBlock(items, 5, 0.8)
+    held = {key: [i[0] for i in p.items] for key, p in block.partitions.items()}
+    assert sorted(sum(held.values(), [])) == list(range(len(items)))
+    full = {size for width, size in held if width == 5}
+    assert len(full) >= 8 and len({p.functions for p in block.partitions.values()}) >= 5
+    for (width, size), p in block.partitions.items():
+        assert p.functions == decontaminate.functions_of(size)
+        for number, (item_id, text, need) in enumerate(p.items):
+            count = max(1, len(text.split()) - 4)
+            kept = sum(number in found for found in p.probes.values())
+            assert 1 <= need <= kept <= min(p.functions, count)
+    # Of every size, the item is found with a fifth of its shingles gone, and not with half.
+    for item_id, text in items[3:]:
+        tokens = text.split()
+        count = len(tokens) - 4
+        near = " ".join(tokens[: len(tokens) - int(count * 0.2)])
+        half = " ".join(tokens[: 4 + int(count * 0.5)])
+        assert item_id in [m[0] for m in block.matches("x y " + near + " z")]
+        assert item_id not in [m[0] for m in block.matches("x y " + half + " z")]
