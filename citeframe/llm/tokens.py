@@ -14,6 +14,7 @@ shared, by an explicit rule:
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +30,9 @@ from .words import small_batches
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Fixed value: the characters that the pattern takes for white space.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_BLANKS = re.compile(f"[{BLANKS}]{{1000,}}")
 RULES = ("start", "end", "largest", "share")
 _SCHEMA = "doc_id long, section int, start long, end long, n_tokens double"
 
@@ -43,10 +47,23 @@ def _encoder(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
     return tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
+def token_ids(text: str, encoder: tiktoken.Encoding) -> list[int]:
+    """The tokens of a text. The pattern takes a run of white space whole, all but its last
+    character if a word follows, and the matcher ends on runs of about a million; so long
+    runs go to the merges by themselves, and the text between them to the pattern."""
+    ids, at = [], 0
+    for run in _LONG_BLANKS.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += encoder.encode_ordinary(text[at : run.start()]) if run.start() > at else []
+        ids += encoder._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + encoder.encode_ordinary(text[at:])
+
+
 def token_spans(text: str, path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
     """Start and end byte of every token."""
     encoder, lengths = _encoder(path)
-    sizes = lengths[np.fromiter(encoder.encode_ordinary(text), np.int64)]
+    sizes = lengths[np.fromiter(token_ids(text, encoder), np.int64)]
     ends = np.cumsum(sizes)
     return ends - sizes, ends
 

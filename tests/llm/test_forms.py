@@ -264,3 +264,17 @@ def test_secret_query_reports_bare_upper_case_hex(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.spans for r in LLM_QUERIES["op9_secret_scan"](spark, str(tmp_path)).collect()}
     assert got == {1: "entropy:4:44", 2: "entropy:6:46", 3: ""}
+
+
+def test_long_blank_runs_are_encoded_like_the_pattern_does():
+    encoder, _ = tokens._encoder(tokens.VOCABULARY)
+    draw = random.Random(3)
+    for k in range(40):
+        parts = []
+        for _ in range(draw.randint(1, 4)):
+            blank = draw.choice([" ", "\n", "\t", " ", " \n"])
+            parts += [draw.choice(["", "word", "word.", "é", "7", "'s", "\x1c"]), blank * draw.choice([1, 999, 1000, 1001, 2500])]
+        text = "".join(parts) + draw.choice(["", "end", " ", ".", "\x1c"])
+        assert tokens.token_ids(text, encoder) == encoder.encode_ordinary(text)
+    starts, ends = tokens.token_spans("a" + "\n" * 1_000_000 + " b" + " " * 2_000_000)
+    assert ends[-1] == 3_000_003 and (starts[1:] == ends[:-1]).all()
