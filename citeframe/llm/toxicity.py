@@ -67,9 +67,11 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     )
 
 
-def log_count_ratios(rows: DataFrame) -> tuple[np.ndarray, int, int]:
-    """Naive Bayes log-count ratio per feature over (label, text) rows, 0 for rare or
-    undecided features, and the number of documents of either class."""
+def log_count_ratios(
+    rows: DataFrame, least_docs: int = LEAST_DOCS, least_ratio: float = LEAST_RATIO
+) -> tuple[np.ndarray, int, int]:
+    """Naive Bayes log-count ratio per feature over (label, text) rows, 0 for features of
+    fewer than `least_docs` documents or of a ratio nearer to 0 than `least_ratio`, and the number of documents of either class."""
     found = rows.mapInArrow(_class_counts, "feature int, pos long, neg long").groupBy("feature").agg(F.sum("pos"), F.sum("neg")).toArrow()
     ids, pos_of, neg_of = (found.column(k).to_numpy() for k in range(3))
     pos, neg = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
@@ -77,7 +79,7 @@ def log_count_ratios(rows: DataFrame) -> tuple[np.ndarray, int, int]:
     n_pos, n_neg = int(pos[-1]), int(neg[-1])
     pos, neg = pos[:-1], neg[:-1]
     ratio = np.log(((pos + 1) / (n_pos + 2)) / ((neg + 1) / (n_neg + 2)))
-    ratio[(pos + neg < LEAST_DOCS) | (np.abs(ratio) < LEAST_RATIO)] = 0.0
+    ratio[(pos + neg < least_docs) | (np.abs(ratio) < least_ratio)] = 0.0
     return ratio.astype(np.float32), n_pos, n_neg
 
 
@@ -117,17 +119,20 @@ def train(labels: np.ndarray, sets: list[np.ndarray], ratio: np.ndarray) -> Mode
     return Model((weight * scale).astype(np.float32), bias)
 
 
-def fit(rows: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model:
+def fit(
+    rows: DataFrame, max_rows: int = MAX_TRAIN_ROWS, least_docs: int = LEAST_DOCS, least_ratio: float = LEAST_RATIO
+) -> Model:
     """Fits on (id, text, label) rows with label 0 or 1: on all, or on the `max_rows` of
     them whose ids have the smallest hashes. Features are built in tasks; the driver gets
-    one ratio per bucket and, of the sampled rows, the features that have one. Rows of a
-    single class, or none, give a constant score."""
+    one ratio per bucket and, of the sampled rows, the features that have one: with
+    `least_docs=1, least_ratio=0.0` all of them, about ten times as many. Rows of a single
+    class, or none, give a constant score."""
     ship_package(rows.sparkSession)
     known = rows.filter(F.col("label").isin(0, 1) & F.col("id").isNotNull())
     order = F.xxhash64("id", F.lit("train"))
     chosen = cut_lineage(known.select("id", order.alias("o")).distinct().orderBy("o", "id").limit(max_rows))
     used = cut_lineage(known.join(chosen.select("id"), "id", "left_semi").select("label", "text"))
-    ratio, n_pos, n_neg = log_count_ratios(used)
+    ratio, n_pos, n_neg = log_count_ratios(used, least_docs, least_ratio)
     if not n_pos or not n_neg:
         rate = (n_pos + 0.1) / (n_pos + n_neg + 1)  # without labels, not toxic
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(rate / (1 - rate))))
