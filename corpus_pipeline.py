@@ -23,8 +23,9 @@ ORACLE_SQL = None
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not take for toxic."""
-    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
-    return scored.filter(F.col("predicted") == 0).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    scored = toxicity.score(rows, toxicity_model(spark, docs, sf_dir), ["doc"])
+    return scored.filter(F.col("predicted") == 0).select("doc.*")
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with `copies`, how often, and `taken`, their words."""
+    """Documents that the mix takes, with `copies`, how often, and `taken`, their words.
+    These two replace columns of documents of the same name."""
     plan = mixing.mix_sources(docs, quality_of=quality_weights(spark, sf_dir))
     # Rows that share source, id and text differ in copies only where the budget ends.
     groups = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "text_hash").agg(
@@ -60,20 +62,23 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("_rows"),
     )
     taken = cut_lineage(groups.filter("_high > 0"))
+    # A row travels as one struct, so that no column of documents clashes with those made here.
+    whole = docs.select(
+        F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("_doc"), F.col("source").alias("_from"), F.xxhash64("text").alias("_hash")
+    )
     same = (
-        docs.doc_id.eqNullSafe(F.col("_id"))
-        & docs.source.eqNullSafe(F.col("_source"))
-        & (F.xxhash64(docs.text) == F.col("text_hash"))
+        F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_from").eqNullSafe(F.col("_source")) & (F.col("_hash") == F.col("text_hash"))
     )
     split = taken.filter("_low < _high")
-    rows = docs.join(taken.filter("_low = _high"), same).select(*docs.columns, "_size", F.col("_high").alias("copies"))
+    rows = whole.join(taken.filter("_low = _high"), same).select("doc", "_size", F.col("_high").alias("copies"))
     if not split.isEmpty():
-        place = F.row_number().over(Window.partitionBy("_source", "_id", "text_hash").orderBy(F.xxhash64(*docs.columns)))
+        place = F.row_number().over(Window.partitionBy("_source", "_id", "text_hash").orderBy(F.xxhash64("doc")))
         above = F.col("_copies") - F.col("_low") * F.col("_rows")  # counts differ by one at most
         copies = F.when(place <= above, F.col("_high")).otherwise(F.col("_low"))
-        rest = docs.join(split, same).select("*", copies.alias("copies")).filter("copies > 0")
-        rows = rows.unionByName(rest.select(*docs.columns, "_size", "copies"))
-    return rows.select(*docs.columns, "copies", (F.col("_size") * F.col("copies")).alias("taken"))
+        rest = whole.join(split, same).select("doc", "_size", copies.alias("copies")).filter("copies > 0")
+        rows = rows.unionByName(rest)
+    own = [F.col("doc").getField(c).alias(c) for c in docs.columns if c.lower() not in ("copies", "taken")]
+    return rows.select(*own, "copies", (F.col("_size") * F.col("copies")).alias("taken"))
 
 
 STAGES = [
