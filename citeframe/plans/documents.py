@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_for_chunks, clean_page
 from ..operators import chunks as ch
 from ..operators import retrieval as rt
+from ..session import shared_folder
 from ..sources import pages as pg
 from ..sources import requests as rq
 from .registry import query, spread, table
@@ -275,6 +278,30 @@ def search_cost(spark, sf_dir):
     return rt.search_cost(parts).select("query_id", "pairs", (F.col("scored") <= F.col("pairs")).alias("within"))
 
 
+@query(
+    "page_sidecar",
+    """WITH c AS (SELECT DISTINCT conv_id FROM conversations),
+    p AS (
+      SELECT conv_id AS deal_id, CAST(turn AS INTEGER) AS page_ord, text FROM conversations WHERE conv_id % 3 <> 0 AND conv_id % 4 <> 1
+      UNION ALL SELECT conv_id, CAST(turn AS INTEGER), text || ' (new)' FROM conversations WHERE conv_id % 4 = 1 AND turn < 2)
+    SELECT c.conv_id AS deal_id, p.deal_id IS NOT NULL AS has_pages, page_ord, md5(text) AS digest
+    FROM c LEFT JOIN p ON p.deal_id = c.conv_id""",
+)
+def page_sidecar(spark, sf_dir):
+    """Two thirds of the conversations are kept, then every fourth is written again with
+    other, fewer pages; reported with the deals that have none."""
+    path = f"{shared_folder(spark)}/sidecar-{uuid.uuid4().hex}"
+    pages = _conversation_pages(spark, sf_dir).withColumnRenamed("doc_id", "deal_id").drop("page_number")
+    pg.write_pages(pages.filter("deal_id % 3 <> 0"), path)
+    pg.write_pages(pages.filter("deal_id % 4 = 1 and page_ord < 2").withColumn("text", F.concat("text", F.lit(" (new)"))), path)
+    stored = pg.stored_pages(spark, path)
+    deals = pages.select("deal_id").distinct()
+    having = pg.with_pages(deals, stored).withColumn("has_pages", F.lit(True))
+    lacking = pg.without_pages(deals, stored).withColumn("has_pages", F.lit(False))
+    told = stored.select("deal_id", "page_ord", F.md5("text").alias("digest"))
+    return having.unionByName(lacking).join(told, "deal_id", "left")
+
+
 @query(
     "search_requests_checked",
     f"""WITH r AS (SELECT doc_id, length(trim(text, {SQL_BLANKS})) AS n, CASE WHEN doc_id % 4 > 0 THEN CAST(doc_id % 24 AS INTEGER) END AS k FROM documents)

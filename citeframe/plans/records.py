@@ -31,31 +31,40 @@ def _json(fields: dict[str, str], drop: str | None = None) -> str:
     return "{" + ",".join(parts) + "}"
 
 
-_CITE = '{"field_name":"noi","value":"1","source_document":"a.pdf","page_number":%s,"snippet":"noi of 1"}'
+def _cited(*pages: str) -> str:
+    """Evidence for the address, one entry per page (JSON text; empty: no page at all)."""
+    entry = '{"field_name":"address","value":"9 Mill Lane","source_document":"om.pdf"%s,"snippet":"at 9 Mill Lane"}'
+    return "[" + ",".join(entry % (f',"page_number":{page}' if page else "") for page in pages) + "]"
+
+
+def _out_of_bounds() -> list[tuple[str, str]]:
+    """Each bounded field one below and one above what it may hold."""
+    sides = [(name, low, -1) for name, (low, _) in spec.BOUNDS.items()] + [(name, high, 1) for name, (_, high) in spec.BOUNDS.items()]
+    return [(_json({name: str(bound + step)}), f"{name}: out of bounds") for name, bound, step in sides if bound is not None]
+
+
 # (proposal with {price} standing for the order's price, first error)
 PROPOSALS = [
     (_json({"asking_price": "{price}"}), None),
-    (_json({"asking_price": "{price}", "made_up": "1"}), "made_up: not allowed"),
-    (_json({"asking_price": "{price}", "review_status": '"approved"'}), "review_status: not allowed"),
-    (_json({"asking_price": "{price}"}, drop="noi"), "noi: missing"),
-    (_json({"cap_rate": "650"}), "cap_rate: out of bounds"),
-    (_json({"asking_price": "-{price}"}), "asking_price: out of bounds"),
-    (_json({"year_built": "3025"}), "year_built: out of bounds"),
-    (_json({"asking_price": '"${price}"'}), "asking_price: not a number"),
-    (_json({"asking_price": '"{price}"'}), "asking_price: not a number"),
-    (_json({"units": "true"}), "units: not a whole number"),
-    (_json({"cap_rate": "false"}), "cap_rate: not a number"),
-    (_json({"asking_price": "NaN"}), "document: not a JSON object"),
-    (_json({"field_flags": '[{"field_name":"not_a_field","flag":"uncertain","note":"x"}]'}), "field_flags.0: malformed"),
-    (_json({"evidence": '[{"field_name":"noi","value":"1","page_number":1,"snippet":"x"}]'}), "evidence.0: malformed"),
-    (_json({"asking_price": '"N/A."', "market": '"tbd"', "evidence": "[" + _CITE % "1" + "," + _CITE % '"3"' + "]"}), None),
-    (_json({"evidence": "[" + _CITE % "1" + "," + _CITE % "0" + "]"}), "evidence.1: malformed"),
-    (_json({"units": "12.5"}), "units: not a whole number"),
-    (_json({"deal_name": "5"}), "deal_name: not text"),
-    ("[1, 2]", "document: not a JSON object"),
-    (_json({"asking_price": "1e400"}), "asking_price: not a number"),
-    (_json({"missing_information": '["cap rate: not stated", 5]'}), "missing_information.1: malformed"),
+    (_json({"asking_price": '"not disclosed"', "submarket": '"Unknown."', "evidence": _cited("4", '"12"')}), None),
+    # One missing and one of the wrong type for each type.
+    *[(_json({"asking_price": "{price}"}, drop=name), f"{name}: missing") for name in ("submarket", "sponsor_equity", "loan_term_years", "field_flags")],
+    (_json({"sponsor_name": "17"}), "sponsor_name: not text"),
+    (_json({"square_feet": '"roomy"'}), "square_feet: not a number"),
+    (_json({"square_feet": "{}"}), "square_feet: not a number"),
+    (_json({"loan_term_years": "7.25"}), "loan_term_years: not a whole number"),
+    (_json({"loan_term_years": '"ten"'}), "loan_term_years: not a whole number"),
+    *_out_of_bounds(),
+    (_json({"broker": '"x"', "asking_price": "{price}"}), "broker: not allowed"),
+    (_json({"corrected_fields": "[]"}), "corrected_fields: not allowed"),
+    (_json({"field_flags": '[{"field_name":"ltv","flag":"doubtful","note":"n"}]'}), "field_flags.0: malformed"),
+    (_json({"missing_information": '["ltv: see loan terms", {}]'}), "missing_information.1: malformed"),
+    (_json({"evidence": _cited("2", "")}), "evidence.1: malformed"),
+    (_json({"evidence": _cited("-1", "2")}), "evidence.0: malformed"),
+    ('"{price}"', "document: not a JSON object"),
+    ('{"asking_price":', "document: not a JSON object"),
 ]
+_GOOD = [i for i, (_, error) in enumerate(PROPOSALS) if error is None]
 _P = len(PROPOSALS)
 
 
@@ -88,8 +97,8 @@ def validate_proposals(spark, sf_dir):
 @query(
     "proposal_rows",
     f"""SELECT o_orderkey AS deal_id, CASE WHEN o_orderkey % {_P} = 0 THEN round(o_totalprice, 2) END AS asking_price,
-               CAST(25 AS BIGINT) AS stated, CAST(CASE WHEN o_orderkey % {_P} = 14 THEN 2 ELSE 0 END AS BIGINT) AS citations
-        FROM orders WHERE o_orderkey % {_P} IN (0, 14)""",
+               CAST(25 AS BIGINT) AS stated, CAST(CASE WHEN o_orderkey % {_P} = {_GOOD[1]} THEN 2 ELSE 0 END AS BIGINT) AS citations
+        FROM orders WHERE o_orderkey % {_P} IN ({', '.join(map(str, _GOOD))})""",
 )
 def proposal_rows(spark, sf_dir):
     valid = accepted(pr.validate_proposals(_proposals(spark, sf_dir), "proposal"))
@@ -123,7 +132,7 @@ def _corrections(spark, sf_dir):
         F.col("price").cast("string").alias("value"), pkg.file_name(F.col("deal_id")).alias("source_document"),
         F.lit(1).alias("page_number"), F.concat(F.lit("Asking Price: $"), pkg.money(F.col("price"))).alias("snippet"),
     )
-    return corrections, cites, pkg.package_pages(spark, sf_dir).filter(F.col("page_ord") == 0)
+    return corrections, cites, pkg.package_pages(spark, sf_dir)
 
 
 @query(
@@ -714,16 +723,22 @@ def suite_report(spark, sf_dir):
               CAST(CASE WHEN event_id % 5 <> 0 THEN 2 ELSE 0 END AS BIGINT) AS status_rows FROM events WHERE event_type <> 'error'""",
 )
 def run_sink(spark, sf_dir):
-    """Writes runs, evidence and statuses as three batches, with ids that would be read
-    as equal numbers, a fourth one without its commit, and reads back what is committed."""
+    """Writes runs, evidence and statuses as three batches, with ids that would be read as
+    equal numbers. The first is written once more as it was, and a third time by a writer
+    that ends half-way; a fourth batch never gets its commit. What is committed is read back."""
     root = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
     runs = cut_lineage(_run_profiles(spark, sf_dir))
     for number, batch_id in enumerate(("001", "1", "x/1")):
         part = runs.filter(F.pmod(F.col("run_id"), F.lit(3)) == number)
         batches.write_batch({"runs": part, "evidence": rn.shred_evidence(part), "statuses": rn.shred_statuses(part)}, root, batch_id)
+    first = runs.filter(F.pmod(F.col("run_id"), F.lit(3)) == 0)
+    again = {"runs": first, "evidence": rn.shred_evidence(first), "statuses": rn.shred_statuses(first)}
+    batches.write_batch(again, root, "001")
+    broken = batches.new_attempt()
+    batches.write_table(again["runs"].limit(0), root, "runs", "001", broken)
+    batches.write_table(again["evidence"].unionAll(again["evidence"]), root, "evidence", "001", broken)
     for name, rows in (("evidence", rn.shred_evidence(runs)), ("statuses", rn.shred_statuses(runs))):
-        # A writer that fails before its commit.
-        rows.withColumn("batch_id", F.lit("retry-x")).write.parquet(f"{root}/{name}/batch=retry-x")
+        batches.write_table(rows, root, name, "retry-x", batches.new_attempt())
     counts = [
         batches.read_committed(spark, root, name).groupBy("run_id").agg(F.count(F.lit(1)).alias(f"{label}_rows"))
         for name, label in (("evidence", "evidence"), ("statuses", "status"))

@@ -5,15 +5,19 @@ Pages: doc_id, page_ord, file_name, page_number, text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_page, is_blank, strip
 from ..operators.checks import error_list, rejected
+from ..session import cut_lineage
 
 # Pages per document, characters per extraction input.
 MAX_PAGES = 500
 MAX_INPUT_CHARS = 600_000
+# Partitions of the page sidecar: the most that a write has to broadcast and rewrite.
+PAGE_BUCKETS = 64
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
@@ -104,10 +108,31 @@ def without_pages(deals: DataFrame, pages: DataFrame) -> DataFrame:
     return deals.join(pages.select("deal_id").distinct(), "deal_id", "left_anti")
 
 
-def write_pages(pages: DataFrame, path: str) -> None:
-    """Page sidecar: one folder for all deals, clustered by deal so that a reader of
-    few deals skips most row groups. Range partitioning on (deal, page) spreads a
-    long document over several files."""
-    pages.repartitionByRange("deal_id", "page_ord").sortWithinPartitions("deal_id", "page_ord").write.mode(
-        "overwrite"
-    ).parquet(path)
+def stored_pages(spark: SparkSession, path: str) -> DataFrame | None:
+    """All pages of the sidecar, or null if none was written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def write_pages(pages: DataFrame, path: str, buckets: int = PAGE_BUCKETS) -> None:
+    """Keeps the pages of these deals, in place of those kept for them before; other deals
+    stay as they are.
+
+    The sidecar is partitioned by a bucket of the deal. Only buckets that a deal of this
+    write falls into are read and written again (dynamic partition overwrite, which moves
+    them in when all are complete). Range partitioning on (bucket, deal, page) spreads a
+    long document over several files, and a reader of few deals skips most row groups."""
+    spark = pages.sparkSession
+    bucket = F.pmod(F.xxhash64("deal_id"), F.lit(buckets)).cast("int")
+    rows = pages.withColumn("bucket", bucket)
+    stored = stored_pages(spark, path)
+    if stored is not None:
+        touched = rows.select("bucket").distinct()
+        kept = stored.join(F.broadcast(touched), "bucket", "left_semi").join(pages.select("deal_id").distinct(), "deal_id", "left_anti")
+        rows = rows.unionByName(cut_lineage(kept.select(*rows.columns)))
+    dealt = rows.repartitionByRange("bucket", "deal_id", "page_ord").sortWithinPartitions("bucket", "deal_id", "page_ord")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)

@@ -3,7 +3,8 @@ import json
 from pyspark.sql import functions as F
 
 from citeframe.operators.checks import accepted
-from citeframe.sources import deals, requests
+from citeframe.sources import batches, deals, requests
+from citeframe.sources import pages as sidecar
 
 
 def test_deal_folder(spark, tmp_path):
@@ -34,3 +35,31 @@ def test_request_lines(spark, tmp_path):
     pages = requests.request_pages(accepted(checked)).collect()
     assert [(p.request_id, p.page_number, p.text) for p in pages] == [("1", 1, "t")]
     assert checked.filter(F.col("source_type") == "other").count() == 2
+
+
+def test_a_failed_retry_leaves_the_committed_batch(spark, tmp_path):
+    root = str(tmp_path)
+    runs = spark.createDataFrame([(1,), (2,)], "run_id int")
+    parts = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "run_id int, part string")
+    batches.write_batch({"runs": runs, "parts": parts}, root, "001")
+    seen = lambda name: sorted(tuple(r) for r in batches.read_committed(spark, root, name).drop("batch_id").collect())
+    before = seen("runs"), seen("parts")
+    batches.write_table(runs.filter("run_id = 1"), root, "runs", "001", batches.new_attempt())
+    assert (seen("runs"), seen("parts")) == before
+    batches.write_batch({"runs": runs.filter("run_id = 1"), "parts": parts.filter("run_id = 1")}, root, "001")
+    assert (seen("runs"), seen("parts")) == ([(1,)], [(1, "a")])
+    batches.write_batch({"runs": runs.limit(0), "parts": parts.limit(0)}, root, "1")
+    assert seen("runs") == [(1,)] and batches.committed(spark, root).count() == 2
+
+
+def test_pages_are_kept_by_deal(spark, tmp_path):
+    path = f"{tmp_path}/pages"
+    rows = lambda *r: spark.createDataFrame(list(r), "deal_id string, page_ord int, text string")
+    assert sidecar.stored_pages(spark, path) is None
+    sidecar.write_pages(rows(("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z"), ("c", 0, "w")), path, buckets=2)
+    sidecar.write_pages(rows(("a", 0, "new"), ("d", 0, "v")), path, buckets=2)
+    stored = sidecar.stored_pages(spark, path)
+    assert sorted((r.deal_id, r.page_ord, r.text) for r in stored.collect()) == [("a", 0, "new"), ("b", 0, "z"), ("c", 0, "w"), ("d", 0, "v")]
+    deals_ = spark.createDataFrame([("a",), ("e",)], "deal_id string")
+    assert [r[0] for r in sidecar.with_pages(deals_, stored).collect()] == ["a"]
+    assert [r[0] for r in sidecar.without_pages(deals_, stored).collect()] == ["e"]
