@@ -7,6 +7,8 @@ no Python, one output row per input row.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,13 +49,10 @@ def is_close(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= tolerance
 
 
-def with_mentions(df: DataFrame, text: str, out: str = "mentions") -> DataFrame:
-    """Adds `out ARRAY<STRUCT<start, stop, value, kind, counted>>` for text in
-    match form: offsets in characters, `counted` = a word follows the figure."""
-    src = ascii_digits(F.col(text))
-    df = df.withColumn("_pieces", F.split(src, FIGURE, -1)).withColumn(
-        "_figures", F.regexp_extract_all(src, F.lit(FIGURE), F.lit(0))
-    )
+@lru_cache(maxsize=1)
+def _readings() -> tuple[Column, Column, Column, Column]:
+    """What is around each of `_figures`, what it reads, where it stops, and the mentions.
+    Built once: the expressions are large, and the same for every table."""
     pieces = F.col("_pieces")
 
     # One struct after the other: inside a lambda an expression that is used twice is
@@ -129,10 +128,24 @@ def with_mentions(df: DataFrame, text: str, out: str = "mentions") -> DataFrame:
         )
 
     return (
-        df.withColumn("_around", F.transform(F.transform("_figures", around), marks))
-        .withColumn("_read", F.transform(F.transform(F.transform("_around", scales), rests), read))
-        .withColumn("_stops", running_sum(F.transform("_read", lambda m: m["gap"] + m["width"])))
-        .withColumn(out, F.zip_with("_read", "_stops", placed))
+        F.transform(F.transform("_figures", around), marks),
+        F.transform(F.transform(F.transform("_around", scales), rests), read),
+        running_sum("transform(_read, m -> m.gap + m.width)"),
+        F.zip_with("_read", "_stops", placed),
+    )
+
+
+def with_mentions(df: DataFrame, text: str, out: str = "mentions") -> DataFrame:
+    """Adds `out ARRAY<STRUCT<start, stop, value, kind, counted>>` for text in
+    match form: offsets in characters, `counted` = a word follows the figure."""
+    src = ascii_digits(F.col(text))
+    around, read, stops, mentions = _readings()
+    return (
+        df.withColumns({"_pieces": F.split(src, FIGURE, -1), "_figures": F.regexp_extract_all(src, F.lit(FIGURE), F.lit(0))})
+        .withColumn("_around", around)
+        .withColumn("_read", read)
+        .withColumn("_stops", stops)
+        .withColumn(out, mentions)
         .drop("_pieces", "_figures", "_around", "_read", "_stops")
     )
 

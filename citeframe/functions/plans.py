@@ -17,25 +17,17 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def running_sum(values: Column) -> Column:
-    """The sum of each element of an integer array and all before it. Longer arrays take
-    n log n additions: step k adds the value 2 ** k places to the left. A fold that appends
-    to its result would copy it at every element."""
-    zero = F.lit(0)
-
-    def short(a: Column) -> Column:
-        return F.transform(a, lambda _, i: F.aggregate(F.slice(a, F.lit(1), i + F.lit(1)), zero, lambda acc, x: acc + x))
-
-    def add(by: int) -> Callable[[Column], Column]:
-        moved = lambda a: F.transform(a, lambda x, i: x + F.when(i >= by, F.get(a, i - F.lit(by))).otherwise(zero))
-        return lambda a: F.when(F.size(a) > by, moved(a)).otherwise(a)
-
-    def long(a: Column) -> Column:
-        for k in range(31):  # an array holds fewer than 2 ** 31 elements
-            a = let(a, add(1 << k))
-        return a
-
-    return let(values, lambda a: F.when(F.size(a) <= 24, short(a)).otherwise(long(a)))
+def running_sum(values: str) -> Column:
+    """The sum of each element and all before it, of an integer array given as SQL. Longer
+    arrays take n log n additions: step k adds the value 2 ** k places to the left. A fold
+    that appends to its result would copy it at every element. (As SQL, since building the
+    31 steps call by call takes seconds.)"""
+    steps = "a"
+    for k in range(31):  # an array holds fewer than 2 ** 31 elements
+        moved = f"transform(a{k}, (x, i) -> x + if(i >= {1 << k}, a{k}[i - {1 << k}], 0))"
+        steps = f"transform(array({steps}), a{k} -> if(size(a{k}) > {1 << k}, {moved}, a{k}))[0]"
+    short = "transform(a, (_, i) -> aggregate(slice(a, 1, i + 1), 0, (sum, x) -> sum + x))"
+    return F.expr(f"transform(array({values}), a -> if(size(a) <= 24, {short}, {steps}))[0]")
 
 
 def explode_computed(df: DataFrame, items: str, out: str, pos: str | None = None, keep: list[str] | None = None) -> DataFrame:

@@ -40,8 +40,8 @@ def postings(pages: DataFrame) -> DataFrame:
         read.select(*keys, "_f.joined", F.regexp_extract_all("_f.form", F.lit(TOKEN), F.lit(0)).alias("_tokens"),
                     F.transform(F.split("_f.form", TOKEN, -1), F.length).alias("_gaps"))
         .withColumn("_widths", F.transform("_tokens", F.length))
-        .withColumn("_stops", running_sum(F.zip_with("_widths", F.slice("_gaps", F.lit(1), F.size("_widths")), lambda w, g: w + g)))
-        .withColumn("_digits", running_sum(F.transform("_tokens", lambda t: F.length(F.regexp_replace(t, r"\P{Nd}", "")))))
+        .withColumn("_stops", running_sum("zip_with(_widths, slice(_gaps, 1, size(_widths)), (w, g) -> w + g)"))
+        .withColumn("_digits", running_sum(r"transform(_tokens, t -> length(regexp_replace(t, '\\P{Nd}', '')))"))
         .withColumn("_words", F.transform("_tokens", lambda t: F.when(t.rlike(f"^[{ALNUM}]"), F.length(t)).otherwise(F.lit(0))))
     )
     rows = F.transform(

@@ -1,15 +1,20 @@
 """Free text onto the fixed vocabulary: property types and markets.
 
-The vocabulary is a constant of a few hundred entries, so it sits in the plan as
-literal maps and arrays. Matching is local to each row: no join, no shuffle.
+The vocabulary is a constant of a few hundred entries. Rules that look an entry up by its
+key hold it as a literal map; property types are found by joining the word sequences of a
+text with the phrases, so their number is in no row's cost. `once_per_text` matches a text
+that many rows share once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..functions.plans import explode_computed
 from ..functions.text import casefold, is_blank, single_spaced
 from ..spec import constant, literal_map
 
@@ -47,6 +52,14 @@ def market_vocabulary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "market string, states array<string>, alias string, alias_key string")
 
 
+def once_per_text(df: DataFrame, text: str, out: str, match: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:
+    """`df` with `out` as `match` adds it, computed for every distinct text once. The texts
+    come back by an equi-join whose other side has one row per text; a text that very many
+    rows share is split there at run time."""
+    told = match(df.select(F.col(text).alias("_text")).filter("_text is not null").distinct(), "_text", out)
+    return df.join(told.select(F.col("_text"), out), F.col(text) == F.col("_text"), "left").drop("_text")
+
+
 def vocabulary_problems(markets: DataFrame) -> DataFrame:
     """Names listed for two markets, and states nobody knows."""
     codes = sorted(set(vocab.STATES.values()))
@@ -76,23 +89,40 @@ def strict_type(text: Column) -> Column:
     )
 
 
+def _type_dictionary(spark: SparkSession) -> tuple[DataFrame, int]:
+    """(phrase, whole, tier, property_type) and the most words of a phrase. Aliases that
+    must be the whole text come first, as tier 0."""
+    rows = [(phrase, False, tier, name) for tier, name, phrase in vocab.type_phrases()]
+    rows += [(key, True, 0, name) for key, name in vocab.exact_types().items()]
+    table = spark.createDataFrame(rows, "phrase string, whole boolean, tier int, property_type string")
+    return table, max(len(row[0].split(" ")) for row in rows)
+
+
+def _loose_types(texts: DataFrame, text: str, out: str) -> DataFrame:
+    phrases, longest = _type_dictionary(texts.sparkSession)
+    words = texts.withColumn("_words", F.split(vocabulary_key(F.col(text)), " "))
+    sequences = F.flatten(
+        F.transform(
+            "_words",
+            lambda _, i: F.transform(
+                F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_words") - i)),
+                lambda n: F.struct(
+                    i.alias("at"), F.array_join(F.slice("_words", i + F.lit(1), n), " ").alias("phrase"), (n == F.size("_words")).alias("all")
+                ),
+            ),
+        )
+    )
+    grams = explode_computed(words.withColumn("_grams", sequences), "_grams", "_g", keep=[text])
+    # The dictionary has a fixed few hundred rows, whatever the size of the data.
+    hits = grams.select(text, "_g.at", "_g.phrase", "_g.all").join(F.broadcast(phrases), "phrase").filter(F.col("all") | ~F.col("whole"))
+    best = F.min(F.struct("tier", "at", (-F.length("phrase")).alias("l"), "property_type"))
+    return hits.groupBy(text).agg(best.alias("_best")).select(text, F.col("_best.property_type").alias(out))
+
+
 def with_loose_type(df: DataFrame, text: str, out: str = "property_type") -> DataFrame:
     """Adds the type a description is about: an exact alias, else the best phrase of
     the first tier that has one (earliest, then longest; whole words only)."""
-    df = df.withColumn("_key", vocabulary_key(F.col(text)))
-    padded = F.concat(F.lit(" "), F.col("_key"), F.lit(" "))
-    choices = [F.try_element_at(literal_map(vocab.exact_types()), F.col("_key"))]
-    for tier in (1, 2, 3):
-        phrases = constant(
-            [{"p": f" {p} ", "l": -len(p), "n": name} for t, name, p in vocab.type_phrases() if t == tier],
-            "array<struct<p:string,l:int,n:string>>",
-        )
-        found = F.transform(
-            phrases,
-            lambda p: F.struct(F.call_function("locate", p["p"], padded).alias("at"), p["l"].alias("l"), p["n"].alias("n")),
-        )
-        choices.append(F.array_min(F.filter(found, lambda p: p["at"] > 0))["n"])
-    return df.withColumn(out, F.when(~is_blank(F.col(text)), F.coalesce(*choices))).drop("_key")
+    return once_per_text(df, text, out, _loose_types)
 
 
 # --- Markets -------------------------------------------------------------------

@@ -15,7 +15,7 @@ from ..operators import runs as rn
 from ..operators import status as st
 from ..operators.checks import accepted
 from ..session import cut_lineage, shared_folder
-from ..sources import batches, deals
+from ..sources import batches, deals, layout
 from . import packages as pkg
 from .evidence import SQL_OUTCOMES, integrity
 from .registry import query, spread, table
@@ -751,6 +751,27 @@ def run_sink(spark, sf_dir):
     )
 
 
+SQL_RUN_KEYS = "SELECT event_id AS run_id, user_id % 50 AS organization_id, event_id % 97 AS deal_id, ts AS started_at, event_type FROM events"
+
+
+@query(
+    "run_lookup",
+    f"""WITH r AS ({SQL_RUN_KEYS}), n AS (
+      SELECT *, row_number() OVER (PARTITION BY organization_id, deal_id ORDER BY started_at DESC, run_id DESC) AS place,
+             count(*) OVER (PARTITION BY organization_id, deal_id) AS runs FROM r)
+    SELECT organization_id, deal_id, run_id, event_type, runs FROM n WHERE place = 1""",
+)
+def run_lookup(spark, sf_dir):
+    """The newest run of every deal, from the stored layout."""
+    runs = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("run_id"), (F.col("user_id") % 50).alias("organization_id"), (F.col("event_id") % 97).alias("deal_id"),
+        F.col("ts").alias("started_at"), "event_type",
+    )
+    name = f"runs_{uuid.uuid4().hex}"
+    layout.write_runs(runs, name, f"{shared_folder(spark)}/{name}", buckets=8)
+    return layout.newest_runs(spark, name).select("organization_id", "deal_id", "run_id", "event_type", "runs")
+
+
 @query(
     "document_sink",
     """SELECT doc_id AS document_id, CASE WHEN doc_id % 2 = 0 THEN '1' ELSE '001' END AS batch_id,

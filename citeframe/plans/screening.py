@@ -107,7 +107,7 @@ _N = len(MARKETS)
 )
 def market_matches(spark, sf_dir):
     df = _customers(spark, sf_dir).withColumn("text", _spread(spark, sf_dir, [m[0] for m in MARKETS]))
-    return voc.with_market_match(df, "text").select("c_custkey", "match.market", "match.confidence")
+    return voc.once_per_text(df, "text", "match", voc.with_market_match).select("c_custkey", "match.market", "match.confidence")
 
 
 @query(

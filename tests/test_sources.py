@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from citeframe.operators.checks import accepted
-from citeframe.sources import batches, deals, requests
+from citeframe.sources import batches, deals, layout, requests
 from citeframe.sources import pages as sidecar
 
 
@@ -63,3 +63,19 @@ def test_pages_are_kept_by_deal(spark, tmp_path):
     deals_ = spark.createDataFrame([("a",), ("e",)], "deal_id string")
     assert [r[0] for r in sidecar.with_pages(deals_, stored).collect()] == ["a"]
     assert [r[0] for r in sidecar.without_pages(deals_, stored).collect()] == ["e"]
+
+
+def test_run_layout_prunes_and_does_not_shuffle(spark, tmp_path):
+    rows = [(k, k % 5, k % 3, k // 2) for k in range(300)]
+    runs = spark.createDataFrame(rows, "run_id int, organization_id int, deal_id int, started_at int")
+    layout.write_runs(runs, "runs_of_a_test", f"{tmp_path}/runs", buckets=4)
+    newest = layout.newest_runs(spark, "runs_of_a_test")
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    best = {}
+    for run, org, deal, start in rows:
+        best[org, deal] = max(best.get((org, deal), (-1, -1)), (start, run))
+    assert {(r.organization_id, r.deal_id): (r.started_at, r.run_id) for r in newest.collect()} == best
+    one = layout.runs_of(spark, "runs_of_a_test", 3, 1)
+    assert "SelectedBucketsCount: 1 out of 4" in one._jdf.queryExecution().executedPlan().toString()
+    assert [r.run_id for r in one.collect()] == sorted((run for run, org, deal, _ in rows if (org, deal) == (3, 1)), reverse=True)
