@@ -111,3 +111,16 @@ def test_mixing_stage_takes_what_the_plan_takes(spark):
     assert Counter((r.doc_id, r.source, r.copies, r.taken) for r in out.collect()) == want
     groups = {(r.doc_id, r.source, r.text_hash) for r in planned}
     assert len({(r.doc_id, r.source, r.text_hash, r.copies) for r in planned}) > len(groups)
+
+
+def test_stages_accept_columns_of_the_same_names(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    clash = {"score": "0.5D", "predicted": "1", "copies": "'c'", "taken": "'t'", "_size": "7", "doc": "'d'", "host": "'h'", "kept": "true"}
+    wide = docs.selectExpr("*", *(f"{value} AS {name}" for name, value in clash.items()))
+    for name, stage in corpus_pipeline.STAGES:
+        out, plain = stage(spark, wide, SF_DIR), stage(spark, docs, SF_DIR)
+        own = [c for c in wide.columns if name != "mixing" or c not in ("copies", "taken")]
+        assert out.columns == (own if name != "mixing" else [*own, "copies", "taken"])
+        ids = lambda df: sorted((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+        assert ids(out) == ids(plain)
+        assert out.filter("score <> 0.5 or predicted <> 1 or doc <> 'd'").count() == 0
