@@ -34,8 +34,7 @@ def page_figures(pages: DataFrame) -> DataFrame:
     forms = F.when(F.col("_plain").rlike(rf"[{LETTER}]-\n[{LETTER}]"), F.array(plain, broken)).otherwise(F.array(plain))
     read = pages.withColumn("_plain", norm(F.col("text"))).withColumn("_forms", forms).select(*PAGE, "_forms")
     read = explode_computed(read, "_forms", "_form", keep=PAGE)
-    read = numbers.with_mentions(read.select(*PAGE, "_form.joined", "_form.form"), "form")
-    return explode_computed(read, "mentions", "_m", keep=FORM).select(*FORM, "_m.start", "_m.stop", "_m.value", "_m.kind")
+    return numbers.number_mentions(read.select(*PAGE, "_form.joined", "_form.form"), "form", FORM).drop("mention_ord")
 
 
 def by_bin(spans: DataFrame, start: str, stop: str, width: int = BIN_CHARS) -> DataFrame:

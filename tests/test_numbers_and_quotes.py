@@ -97,3 +97,25 @@ def test_notes(spark):
     assert all(r.want == r.got for r in df.collect())
     df = spark.createDataFrame([("cap_rate: not stated",), ("cap rate – n/s",), ("cap_rate",)], "n string")
     assert [r[0] for r in df.select(text.note_text(F.col("n"), F.lit("cap_rate"))).collect()] == ["not stated", "n/s", "cap_rate"]
+
+
+def test_figures_on_rows_read_as_in_arrays(spark):
+    texts = ["units: 12, noi $(1,200.50) thousand", "5 mm usd - 3 k, 7% and .5 percent", "40 units", "none", "", None, "٣ beds 2.5m sq", "1 2 3 4 million"]
+    pages = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    rows = numbers.number_mentions(pages, "t", ["id"])
+    arrays = numbers.with_mentions(pages, "t").selectExpr("id", "posexplode(mentions) as (ord, m)").select("id", "ord", "m.start", "m.stop", "m.value", "m.kind")
+    got = sorted(map(tuple, rows.collect()))
+    assert got and got == sorted(map(tuple, arrays.collect()))
+    # No figure is read inside a lambda, where expressions are interpreted.
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("lambda" in line and "regexp_extract(" in line for line in plan.splitlines())
+
+
+def test_match_form_of_tidy_and_untidy_text(spark):
+    texts = ["Plain Text", "a\n b", "a \nb", "a\n\nb", "A\tB", "a  b", "x\x1cy", " a ", "\nA", "a-\nb", "a- \n b", "é \n É", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [tuple(r) for r in df.select(text.norm(F.col("t")), text.norm(F.col("t"), join_line_hyphens=True)).collect()]
+    assert got == [
+        ("plain text", "plain text"), ("a\nb", "a\nb"), ("a\nb", "a\nb"), ("a\nb", "a\nb"), ("a b", "a b"), ("a b", "a b"), ("x y", "x y"),
+        ("a", "a"), ("a", "a"), ("a-\nb", "ab"), ("a-\nb", "ab"), ("é\né", "é\né"), (None, None),
+    ]
