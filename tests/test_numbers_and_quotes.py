@@ -119,3 +119,11 @@ def test_match_form_of_tidy_and_untidy_text(spark):
         ("plain text", "plain text"), ("a\nb", "a\nb"), ("a\nb", "a\nb"), ("a\nb", "a\nb"), ("a b", "a b"), ("a b", "a b"), ("x y", "x y"),
         ("a", "a"), ("a", "a"), ("a-\nb", "ab"), ("a-\nb", "ab"), ("é\né", "é\né"), (None, None),
     ]
+
+
+def test_filters_on_mentions_are_not_copied_into_the_steps(spark):
+    pages = spark.createDataFrame([(1, "units: 12, noi $1,200")], "id int, t string")
+    found = numbers.number_mentions(pages, "t", ["id"]).filter("kind = 'currency'")
+    assert [r["value"] for r in found.collect()] == [1200.0]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "regexp_extract(" in line for line in plan.splitlines())
