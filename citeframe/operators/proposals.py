@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import spec
-from ..functions.plans import explode_computed
+from ..functions.plans import explode_computed, filter_computed
 from ..functions.text import placeholder_to_null, strip
 
 # Error messages kept per row, flags a model may set.
@@ -140,22 +140,24 @@ def validate_proposals(df: DataFrame, json: str, complete: bool = True) -> DataF
 def proposal_values(df: DataFrame, json: str, keys: list[str]) -> DataFrame:
     """Value rows of accepted proposals; placeholders such as "N/A" become null.
     `stated` tells a field given as null from one left out."""
-    doc = F.col("_doc")
-    rows = []
-    for name in VALUE_FIELDS:
-        item = _at(doc, f"$.{name}")
-        text = placeholder_to_null(_text(item), spec.PLACEHOLDERS)
-        number = F.when(_is_number(_type(item)), F.try_variant_get(item, "$", "double"))
-        rows.append(
-            F.struct(
-                F.lit(name).alias("field_name"),
-                (number if TYPES[name] != "text" else F.lit(None).cast("double")).alias("num_value"),
-                (text if TYPES[name] == "text" else F.lit(None).cast("string")).alias("text_value"),
-                item.isNotNull().alias("stated"),
-            )
+    # One row per key before anything is read: an array of all fields becomes one method of
+    # 20 KB, which the JVM never compiles.
+    members = F.try_variant_get(F.try_parse_json(F.col(json)), "$", "map<string,variant>")
+    entries = explode_computed(df.withColumn("_members", F.map_entries(members)), "_members", "_member", keep=keys)
+    name, item = F.col("_member.key"), F.col("_member.value")
+    read = filter_computed(entries.filter(name.isin(VALUE_FIELDS)), item.isNotNull()).select(
+        *keys, name.alias("field_name"), item.alias("_item"), _type(item).alias("_kind")
+    )
+    is_text = F.col("field_name").isin([field for field in VALUE_FIELDS if TYPES[field] == "text"])
+    number = F.try_variant_get(F.col("_item"), "$", "double")
+    text = F.when(F.col("_kind") == "STRING", strip(F.try_variant_get(F.col("_item"), "$", "string")))
+    return (
+        read.withColumn("_text", F.when(is_text, text))
+        .select(
+            *keys, "field_name", F.when(~is_text & _is_number(F.col("_kind")), number).alias("num_value"),
+            placeholder_to_null(F.col("_text"), spec.PLACEHOLDERS).alias("text_value"), F.lit(True).alias("stated"),
         )
-    parsed = df.withColumn("_doc", F.try_parse_json(F.col(json))).withColumn("_rows", F.array(*rows))
-    return explode_computed(parsed, "_rows", "_row", keep=keys).select(*keys, "_row.*").filter("stated")
+    )
 
 
 def proposal_citations(df: DataFrame, json: str, keys: list[str]) -> DataFrame:
