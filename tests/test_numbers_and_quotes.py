@@ -127,3 +127,33 @@ def test_filters_on_mentions_are_not_copied_into_the_steps(spark):
     assert [r["value"] for r in found.collect()] == [1200.0]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Filter" in line and "regexp_extract(" in line for line in plan.splitlines())
+
+
+def test_figures_of_a_span_are_read_as_in_the_whole_text(spark):
+    texts = [
+        "total 1,234,567 - $ 8.5 million (2,000) usd 7", "a1.5 -3% x 1,2,3,4 units", "b" * 40 + "9,8.7 mm. 12 years",
+        "12 " * 30, "1" * 60 + ",5 k", "no figures", "",
+    ]
+    rows = [(t, a, b) for t in texts for a in range(0, len(t) + 1, 3) for b in range(a, len(t) + 1, 5)]
+    df = numbers.with_mentions(spark.createDataFrame(rows, "t string, a int, b int"), "t", "whole")
+    read = numbers.with_mentions_in(df, "t", "a", "b", "found", drop=[]).collect()
+    for row in read:
+        want = [tuple(m)[2:] + (m.stop - m.start,) for m in row.whole if m.start < row.b and row.a < m.stop]
+        assert [tuple(m)[2:] + (m.stop - m.start,) for m in row.found] == want, row
+
+
+def test_checking_citations_shuffles_no_figures(spark):
+    from citeframe.operators import citations as cite
+
+    values = spark.createDataFrame([(1, "noi", 5.0, None)], "deal_id long, field_name string, num_value double, text_value string")
+    cited = spark.createDataFrame(
+        [(1, "noi", 0, "$5", "a.pdf", 1, "the NOI is $5")],
+        "deal_id long, field_name string, cite_ord int, value string, source_document string, page_number int, snippet string",
+    )
+    pages = spark.createDataFrame(
+        [(1, 0, "a.pdf", 1, "7 units. The NOI is $5 now")], "deal_id long, page_ord int, file_name string, page_number int, text string"
+    )
+    checked = cite.check_citations(values, cited, pages)
+    assert [(r.reason, r.cited_num) for r in checked.collect()] == [(None, 5.0)]
+    # Figures are read in the row of the quote, not from a table written on the way.
+    assert "parquet" not in checked._jdf.queryExecution().optimizedPlan().toString()
