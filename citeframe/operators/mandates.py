@@ -38,6 +38,8 @@ PROFILE_FIELDS = {
 }
 LISTS = ["asset_types", "target_markets", "excluded_markets", "preferences"]
 
+NO_OBJECT = "criteria: not an object"
+
 # Fixed value: the name of the example mandate; its content is only an example.
 DEMO_NAME = "Demo - Sun Belt Value-Add Multifamily"
 DEMO_DESCRIPTION = "Shows what a mandate can hold. Not a policy of any fund."
@@ -162,10 +164,10 @@ def _bounds(limits: Column) -> Column:
 def _metric_problem(name: Column, limits: Column) -> Column:
     path = F.concat(F.lit("key_metrics."), name)
     bounds = _bounds(limits)
-    return (
-        F.when(~name.isin(METRICS), F.concat(path, F.lit(": not a metric")))
-        .when(_range_problem(limits, path).isNotNull(), _range_problem(limits, path))
-        .when(
+    return F.coalesce(
+        F.when(~name.isin(METRICS), F.concat(path, F.lit(": not a metric"))),
+        _range_problem(limits, path),
+        F.when(
             name.isin("units", "year_built") & F.exists(bounds, lambda b: b != F.floor(b)),
             F.concat(path, F.lit(": not a whole number")),
         )
@@ -180,15 +182,35 @@ def _metric_problem(name: Column, limits: Column) -> Column:
         .when(
             name.isin("cap_rate", "occupancy_rate") & F.exists(bounds, lambda b: (b < 0) | (b > 100)),
             F.concat(path, F.lit(": not a percentage")),
-        )
+        ),
     )
 
 
 def validate_mandates(df: DataFrame) -> DataFrame:
     """Adds `errors`, and `asset_types`, `target_markets`, `excluded_markets` in
-    canonical form. Reads name, description and the criteria JSON."""
-    df = canonical_lists(parse_criteria(df))
-    doc = F.try_parse_json(F.col("criteria"))
+    canonical form. Reads name, description and the criteria JSON, whose text is checked
+    once however many mandates share it (and comes back as with `once_per_text`)."""
+    texts = df.select(F.col("criteria").alias("_text"))
+    told = _check_criteria(texts.filter("_text is not null").distinct().select("_text", F.col("_text").alias("criteria")))
+    name = single_spaced(F.coalesce("name", F.lit("")))
+    row_checks = error_list(
+        {
+            "name: not 1 to 120 characters": F.length(name).between(1, MAX_NAME_CHARS),
+            "description: over 2,000 characters": F.col("description").isNull()
+            | (F.length(strip(F.col("description"))) <= MAX_DESCRIPTION_CHARS),
+        }
+    )
+    none = F.array().cast(_EMPTY)
+    found = F.coalesce("_problems", F.array(F.lit(NO_OBJECT)))  # null is no object either
+    added = {"errors": F.concat(row_checks, found)} | {n: F.coalesce(f"_k_{n}", none) for n in LISTS[:3]}
+    joined = df.join(told, F.col("criteria") == F.col("_text"), "left")
+    return joined.select(*[c for c in df.columns if c not in added], *[c.alias(n) for n, c in added.items()])
+
+
+def _check_criteria(texts: DataFrame) -> DataFrame:
+    """`_text`, `_problems` and canonical names per list, for distinct criteria texts."""
+    df = canonical_lists(parse_criteria(texts)).withColumn("_doc", F.try_parse_json(F.col("criteria")))
+    doc = F.col("_doc")
     no_text = F.lit(None).cast("string")
 
     def list_problems(name: str) -> list[Column]:
@@ -262,15 +284,7 @@ def validate_mandates(df: DataFrame) -> DataFrame:
         | F.coalesce(F.size("_c.key_metrics") > 0, F.lit(False))
         | leverage.isNotNull()
     )
-    name = single_spaced(F.coalesce("name", F.lit("")))
-    row_checks = error_list(
-        {
-            "name: not 1 to 120 characters": F.length(name).between(1, MAX_NAME_CHARS),
-            "description: over 2,000 characters": F.col("description").isNull()
-            | (F.length(strip(F.col("description"))) <= MAX_DESCRIPTION_CHARS),
-            "criteria: not an object": F.col("_keys").isNotNull(),
-        }
-    )
+    row_checks = error_list({NO_OBJECT: F.col("_keys").isNotNull()})
     unknown = F.transform(
         F.array_except(F.coalesce("_keys", F.array().cast(_EMPTY)), F.array(*[F.lit(k) for k in CRITERIA_KEYS])),
         lambda k: F.concat(k, F.lit(": not allowed")),
@@ -297,16 +311,7 @@ def validate_mandates(df: DataFrame) -> DataFrame:
         F.coalesce(loose_metrics, F.array().cast(_EMPTY)),
         F.coalesce(metrics, F.array().cast(_EMPTY)),
     )
-    return (
-        df.withColumn("errors", errors)
-        .withColumn("asset_types", F.col("_k_asset_types"))
-        .withColumn("target_markets", F.col("_k_target_markets"))
-        .withColumn("excluded_markets", F.col("_k_excluded_markets"))
-        .drop(
-            "_keys", "_c", *[f"_{n}" for n in LISTS],
-            *[f"_{p}_{n}" for p in "ku" for n in ("asset_types", "target_markets", "excluded_markets")],
-        )
-    )
+    return df.select("_text", errors.alias("_problems"), *[f"_k_{n}" for n in LISTS[:3]])
 
 
 def problem_summary(errors: Column, limit: int = 3) -> Column:

@@ -30,3 +30,20 @@ def test_query_matches_sql(spark, con, name):
     result = con.execute(ORACLES[name])
     want = rows_of([d[0] for d in result.description], result.fetchall())
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == want
+
+
+def test_mandates_sharing_criteria_are_checked_once(spark):
+    """The check runs on distinct texts; a row without criteria is judged without it."""
+    from citeframe.operators.mandates import validate_mandates
+
+    good, bad = '{"asset_types": ["Land", "castle"]}', '{"asset_types": ["land"]}'
+    rows = [(1, "a", good), (2, "", good), (3, "c", bad), (4, "d", None), (5, "e", "[]"), (6, "f", bad)]
+    df = spark.createDataFrame(rows, "mandate_id int, name string, criteria string").selectExpr("*", "cast(null as string) description")
+    checked = validate_mandates(df)
+    assert {r.mandate_id: (r.errors, r.asset_types) for r in checked.collect()} == {
+        1: (["asset_types: unknown castle"], ["Land"]),
+        2: (["name: not 1 to 120 characters", "asset_types: unknown castle"], ["Land"]),
+        3: ([], ["Land"]), 6: ([], ["Land"]),
+        4: (["criteria: not an object"], []), 5: (["criteria: not an object"], []),
+    }
+    assert "Aggregate [" in checked._jdf.queryExecution().optimizedPlan().toString()
