@@ -251,10 +251,14 @@ def with_market_match(df: DataFrame, text: str, out: str = "match") -> DataFrame
 
 def with_profile_market(df: DataFrame, out: str = "profile_market") -> DataFrame:
     """Adds struct(market, confidence, matched_text, field) over a wide profile: the
-    first field with an exact match, else the first partial one."""
+    first field with an exact match, else the first partial one. A text is matched once,
+    however many rows and fields hold it (as `once_per_text` does for one field)."""
+    texts = df.select(F.explode(F.array(*PROFILE_MARKET_FIELDS)).alias("_text")).filter("_text is not null").distinct()
+    told = with_market_match(texts, "_text", "_match").select("_text", "_match")
     matches = []
     for name in PROFILE_MARKET_FIELDS:
-        df = with_market_match(df, name, f"_m_{name}")
+        named = told.select(F.col("_text").alias(f"_t_{name}"), F.col("_match").alias(f"_m_{name}"))
+        df = df.join(named, F.col(name) == F.col(f"_t_{name}"), "left").drop(f"_t_{name}")
         match = F.col(f"_m_{name}")
         matches.append(
             F.when(

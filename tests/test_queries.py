@@ -47,3 +47,14 @@ def test_mandates_sharing_criteria_are_checked_once(spark):
         4: (["criteria: not an object"], []), 5: (["criteria: not an object"], []),
     }
     assert "Aggregate [" in checked._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_profile_texts_are_matched_once(spark):
+    from citeframe.operators.vocabulary import with_profile_market
+
+    rows = [(1, "Boise", None, "Tucson", " "), (2, None, "Tucson", "Boise", "x"), (3, None, None, None, None), (4, "x", " ", None, "Tucson, AZ")]
+    found = with_profile_market(spark.createDataFrame(rows, "id int, market string, submarket string, location string, address string"))
+    assert {r.id: r.profile_market and (r.profile_market.market, r.profile_market.field) for r in found.collect()} == {
+        1: ("Boise", "market"), 2: ("Tucson", "submarket"), 3: None, 4: ("Tucson", "address"),
+    }
+    assert "Aggregate [" in found._jdf.queryExecution().optimizedPlan().toString()
