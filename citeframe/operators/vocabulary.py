@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions.plans import explode_computed
 from ..functions.text import casefold, is_blank, single_spaced
+from ..session import cut_lineage
 from ..spec import constant, literal_map
 
 PROFILE_MARKET_FIELDS = ["market", "submarket", "location", "address"]
@@ -254,7 +255,8 @@ def with_profile_market(df: DataFrame, out: str = "profile_market") -> DataFrame
     first field with an exact match, else the first partial one. A text is matched once,
     however many rows and fields hold it (as `once_per_text` does for one field)."""
     texts = df.select(F.explode(F.array(*PROFILE_MARKET_FIELDS)).alias("_text")).filter("_text is not null").distinct()
-    told = with_market_match(texts, "_text", "_match").select("_text", "_match")
+    # Written once: the four joins would each match the texts anew.
+    told = cut_lineage(with_market_match(texts, "_text", "_match").select("_text", "_match"))
     matches = []
     for name in PROFILE_MARKET_FIELDS:
         named = told.select(F.col("_text").alias(f"_t_{name}"), F.col("_match").alias(f"_m_{name}"))
