@@ -157,3 +157,35 @@ def test_checking_citations_shuffles_no_figures(spark):
     assert [(r.reason, r.cited_num) for r in checked.collect()] == [(None, 5.0)]
     # Figures are read in the row of the quote, not from a table written on the way.
     assert "parquet" not in checked._jdf.queryExecution().optimizedPlan().toString()
+
+
+FIGURE_ROWS = [
+    *[raw for raw, _ in READINGS], "", ".5 of 12,345.67 (3) x.5 1.2.3 7,.9", "Price: $1,250.50 million, 3 units", "12 ($4.5M) 7%",
+    "USD -3 k sf", "-5 percent and 6", "(2) 9",
+]
+
+
+def test_single_figures_are_read_as_in_arrays(spark):
+    df = spark.createDataFrame([(t,) for t in FIGURE_ROWS] + [(None,)], "raw string").withColumn("n", text.norm(F.col("raw")))
+    df = numbers.with_few_mentions(numbers.with_mentions(df, "n", "many"), "n", "few")
+    for row in df.collect():
+        assert row.few == row.many, row.raw
+    # Each figure by its start, with the kinds of those after it.
+    at = df.select("raw", "n", "many", F.posexplode("many").alias("i", "m")).withColumn("at", F.col("m.start"))
+    read = numbers.with_figure_at(at.withColumn("n", text.ascii_digits(F.col("n"))), "n", "at", "figure").collect()
+    assert len(read) > 25
+    for row in read:
+        assert tuple(row.figure)[:5] == tuple(row.m), row.raw
+        assert (row.figure.later_kinds or []) == [m.kind for m in row.many[row.i + 1 :]], row.raw
+
+
+def test_a_quote_is_held_where_the_look_up_finds_it(spark):
+    rows = [(s, p) for s, p in ON_PAGE + NOT_ON_PAGE] + [("", "page"), ("same words", "same words"), ("word", None)]
+    df = quotes.with_quote(spark.createDataFrame(rows, "s string, p string"), "s", "p", F.lit(False))
+    held = F.exists(F.array(F.struct("s", "p")), lambda x: quotes.holds_quote(x["s"], x["p"]))
+    for row in df.withColumn("held", held).collect():
+        assert bool(row.held) == row.q_found, row
+    placed = quotes.with_quote(spark.createDataFrame(rows, "s string, p string"), "s", "p", F.lit(True))
+    form = quotes.place(text.norm(F.col("s")), text.norm(F.col("p")), F.lit(True))
+    for row in placed.filter("not coalesce(q_joined, false)").withColumn("at", form).collect():
+        assert (row["at"] and (row["at"].start, row["at"].stop)) == (row.q_start, row.q_stop) or row.p is None, row
