@@ -109,7 +109,7 @@ def check_citations(values: DataFrame, citations: DataFrame, pages: DataFrame) -
         .withColumn("_cited_figures", F.when(numeric, F.col("_cited_norm")))
     )
     df = (
-        numbers.with_mentions(df, "_cited_figures", "_cited")
+        numbers.with_few_mentions(df, "_cited_figures", "_cited")
         .withColumn("_one", F.when(F.size("_cited") == 1, F.get("_cited", F.lit(0))))
         .withColumn(
             "_percent_reading",
