@@ -13,12 +13,13 @@ A piece of a quote is where its tokens follow each other: postings and pieces me
 (deal, page, token), and the places where all tokens of a piece agree on where it begins
 are counted. Pieces of one quote are then joined from the last to the first, by the rule of
 the gap. The index is built once per page however many quotes cite it, and no pattern is
-built per quote.
+built per quote. Given the quotes, it holds their tokens only (`postings`), so that what is
+shuffled follows the quotes and not the pages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.plans import explode_computed, running_sum
@@ -26,18 +27,30 @@ from ..functions.quotes import MAX_GAP_CHARS, quote_parts
 from ..functions.text import ALNUM, LETTER, norm
 
 FORM = ["deal_id", "page_ord", "joined"]
+POSTING = ["token", "start", "stop", "digits", "digits_after", "before", "after"]
 TOKEN = rf"[{ALNUM}]+|[^{ALNUM} \n]"
 _BIN = MAX_GAP_CHARS + 1
 
 
-def postings(pages: DataFrame) -> DataFrame:
+def asked_tokens(snippet: Column) -> Column:
+    """The distinct tokens of the pieces of a quote, for `postings`."""
+    pieces = F.array_join(quote_parts(norm(snippet)), " ")
+    return F.array_distinct(F.regexp_extract_all(pieces, F.lit(TOKEN), F.lit(0)))
+
+
+def postings(pages: DataFrame, tokens: str | None = None) -> DataFrame:
+    """The index of `pages`: of all words and marks, or of those in the array column `tokens`
+    of the page only, which suffice for quotes of such tokens."""
     plain = F.struct(F.lit(False).alias("joined"), F.col("_plain").alias("form"))
     broken = F.struct(F.lit(True).alias("joined"), norm(F.col("text"), join_line_hyphens=True).alias("form"))
     forms = F.when(F.col("_plain").rlike(rf"[{LETTER}]-\n[{LETTER}]"), F.array(plain, broken)).otherwise(F.array(plain))
     keys = ["deal_id", "page_ord"]
-    read = explode_computed(pages.withColumn("_plain", norm(F.col("text"))).withColumn("_forms", forms), "_forms", "_f", keep=keys)
+    kept = [tokens] if tokens else []
+    read = explode_computed(
+        pages.withColumn("_plain", norm(F.col("text"))).withColumn("_forms", forms), "_forms", "_f", keep=[*keys, *kept]
+    )
     read = (
-        read.select(*keys, "_f.joined", F.regexp_extract_all("_f.form", F.lit(TOKEN), F.lit(0)).alias("_tokens"),
+        read.select(*keys, *kept, "_f.joined", F.regexp_extract_all("_f.form", F.lit(TOKEN), F.lit(0)).alias("_tokens"),
                     F.transform(F.split("_f.form", TOKEN, -1), F.length).alias("_gaps"))
         .withColumn("_widths", F.transform("_tokens", F.length))
         .withColumn("_stops", running_sum("zip_with(_widths, slice(_gaps, 1, size(_widths)), (w, g) -> w + g)"))
@@ -53,7 +66,12 @@ def postings(pages: DataFrame) -> DataFrame:
             F.when(F.get("_gaps", i + F.lit(1)) == 0, F.coalesce(F.get("_words", i + F.lit(1)), F.lit(0))).otherwise(F.lit(0)).alias("after"),
         ),
     )
-    return explode_computed(read.withColumn("_rows", rows), "_rows", "_p", pos="pos", keep=FORM).select(*FORM, "pos", "_p.*")
+    read = read.withColumn("_rows", rows)
+    if tokens:
+        numbered = F.transform("_rows", lambda x, i: F.struct(i.alias("pos"), *[x[c].alias(c) for c in POSTING]))
+        asked = F.filter(numbered, lambda x: F.array_contains(F.col(tokens), x["token"]))
+        return explode_computed(read.withColumn("_rows", asked), "_rows", "_p", keep=FORM).select(*FORM, "_p.*")
+    return explode_computed(read, "_rows", "_p", pos="pos", keep=FORM).select(*FORM, "pos", "_p.*")
 
 
 def find_pieces(asked: DataFrame, index: DataFrame) -> DataFrame:

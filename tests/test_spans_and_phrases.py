@@ -54,6 +54,19 @@ def test_quotes_by_position_match_patterns(spark):
     assert sum(r.q_found for r in told) > 60 and any(r.q_joined for r in told)
 
 
+def test_an_index_of_the_words_asked_for_finds_the_same(spark):
+    page = "the yard and the road " * 40 + "Creek Road of Straße 7, see Creek\nRoad; old mill-\nrace (a)b"
+    asks = ["Creek Road ... (a)", "old millrace", "STRASSE 7", "Road of", "...", "", "yard road", "Creek ... 7 ... mill"]
+    rows = [(2 * i + n, i, 0, s, page, bool(n)) for i, s in enumerate(asks) for n in (0, 1)]
+    table = spark.createDataFrame(rows, "quote_id int, deal_id int, page_ord int, snippet string, text string, numeric boolean")
+    pages = table.filter("numeric").select("deal_id", "page_ord", "text", phrases.asked_tokens(F.col("snippet")).alias("tokens"))
+    whole, few = phrases.postings(pages), phrases.postings(pages, "tokens")
+    found = lambda index: sorted(map(tuple, phrases.find_quotes(table, index).collect()))
+    assert found(few) == found(whole) and len(found(whole)) >= 6
+    assert few.count() * 5 < whole.count()
+    assert few.exceptAll(whole.select(few.columns)).count() == 0
+
+
 def test_literal_lookup_matches_the_pattern(spark):
     """The token lookup and the pattern give the same place and text."""
     draw = random.Random(4)
