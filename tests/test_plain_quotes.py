@@ -53,3 +53,20 @@ def test_pages_and_citations_meet_once(spark):
     assert cited.count() == len(cites)
     # Page text and page keys come from one read of the pages, the citations move once.
     assert cited._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_a_label_and_its_figure_are_read_as_in_any_passage(spark):
+    from citeframe.operators.passages import plain_rest, with_labelled_figure
+
+    # form, label, the figure as text where the passage is no more than both
+    rows = [
+        ("loan amount: $5", "loan amount", "$5"), ("rate: 5.25%", "rate", "5.25%"), ("rate: 5.25% fixed", "rate", None),
+        ("the rate: 5", "rate", None), ("loan usd: 5", "loan usd", None), ("unit 2: 5", "unit 2", None), ("rate: -5", "rate", None),
+        ("rate: 5 6", "rate", None), ("taux d'intérêt: 5", "taux d'intérêt", None), ("rate 5", "rate", None),
+    ]
+    df = spark.createDataFrame([(i, f, x) for i, (f, x, _) in enumerate(rows)], "i int, form string, label string")
+    read = with_labelled_figure(df.withColumn("rest", plain_rest(F.col("form"), F.col("label"))), F.col("label"))
+    for r in read.collect():
+        assert r.rest == rows[r.i][2], rows[r.i]
+        if r.rest:
+            assert r.form[r.figure_start:] == r.rest.lstrip("$"), rows[r.i]
